@@ -1,6 +1,9 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
 from lattica.llm.byte_bpe import op8_byte_bpe
+from lattica.llm.mixing import op6_mix
+from lattica.llm.token_files import op3_token_files
+from lattica.llm.warc import OP10_SQL, op10_warc
 
-QUERIES = {f.__name__: f for f in (op8_byte_bpe,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_token_files, op6_mix, op8_byte_bpe, op10_warc)}
+ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
