@@ -10,7 +10,10 @@ up never needs a second visit.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +41,21 @@ class ByteBPE:
         import regex
 
         self.ranks = ranks
-        self.bytes_of = dict(map(reversed, ranks.items()))
-        self.size_of = {i: len(b) for b, i in ranks.items()}
+        top = max(ranks.values(), default=-1) + 1
+        self.bytes_of: list[bytes] = [b""] * top
+        for token, i in ranks.items():
+            self.bytes_of[i] = token
+        self.size_of = list(map(len, self.bytes_of))
         self.find = regex.compile(pattern).findall
+        # White space beside a space, or at an end: only there may a match reach over a space (a superset, by Python's notion).
+        self.gaps = re.compile(r" \s|\s |^\s|\s$").search
         self.trie = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.trie.add_word(token.decode("latin-1"), i)
         self.trie.make_automaton()
+        self.prefix: list[int | None] = [None] * top
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
         self.pieces: dict[str, list[int]] = {}
 
@@ -88,46 +97,52 @@ class ByteBPE:
             else:
                 limit, right = right + 1, b[0]
 
+    def shorter(self, token: int) -> int:
+        """The longest token that is a proper prefix of this one; -1 if there is none."""
+        found = self.prefix[token]
+        if found is None:
+            own = self.bytes_of[token]
+            found = self.prefix[token] = next((self.ranks[own[:n]] for n in range(len(own) - 1, 0, -1) if own[:n] in self.ranks), -1)
+        return found
+
+    def may_follow(self, last: int, token: int) -> bool:
+        """Whether merges make this token at all, and leave its border with the last one (-1: none) open."""
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        good = self.fits[last << 24 | token] = (self.size_of[token] == 1 or self.halves(token) is not None) and (last < 0 or self.border_stays(last, token))
+        return good
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        size_of, fits, n = self.size_of, self.fits, len(piece)
-        starting: list[list[int]] = [[] for _ in range(n)]
+        size_of, known, n = self.size_of, self.fits.get, len(piece)
+        longest = [-1] * n
         for end, token in self.trie.iter(piece.decode("latin-1")):
-            starting[end + 1 - size_of[token]].append(token)
+            longest[end + 1 - size_of[token]] = token
         out: list[int] = []
-        tried: list[int] = []
-        given_up = bytearray(n + 1)
-        pos, k = 0, len(starting[0]) - 1
-        while pos < n:
-            options = starting[pos]
-            last = out[-1] if out else -1
-            while k >= 0:
-                token = options[k]
-                if not given_up[pos + size_of[token]]:
-                    good = fits.get((last, token))
-                    if good is None:
-                        if len(fits) >= PAIRS:
-                            fits.clear()
-                        good = (size_of[token] == 1 or self.halves(token) is not None) and (last < 0 or self.border_stays(last, token))
-                        fits[last, token] = good
-                    if good:
+        last, pos, given_up, token = -1, 0, 0, longest[0]
+        while True:
+            while token >= 0:
+                end = pos + size_of[token]
+                if not given_up >> end & 1:
+                    good = known(last << 24 | token)
+                    if self.may_follow(last, token) if good is None else good:
                         break
-                k -= 1
-            if k >= 0:
+                token = self.shorter(token)
+            if token >= 0:
                 out.append(token)
-                tried.append(k)
-                pos += size_of[token]
-                k = len(starting[pos]) - 1 if pos < n else 0
+                if end == n:
+                    return out
+                last, pos, token = token, end, longest[end]
             elif out:
-                given_up[pos] = 1
-                pos -= size_of[out.pop()]
-                k = tried.pop() - 1
+                given_up |= 1 << pos
+                pos -= size_of[last]
+                token = self.shorter(out.pop())
+                last = out[-1] if out else -1
             else:  # bytes without a token of their own
                 return [self.ranks[x] for x in self.merged(piece)]
-        return out
 
     def encoded(self, chunk: str) -> tuple[bytes, str]:
         ids: list[int] = []
@@ -138,14 +153,15 @@ class ByteBPE:
                     self.pieces.clear()
                 own = self.pieces[piece] = self.encode_piece(piece.encode())
             ids += own
-        return np.array(ids, "<u4").tobytes(), " ".join(map(str, ids))
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(str, ids))
 
-    def look_up(self, chunk: str) -> tuple[bytes, str]:
-        found = self.words.get(chunk)
+    def look_up(self, word: str) -> tuple[bytes, str]:
+        """What a space and then the word encode to, remembered by the word."""
+        found = self.words.get(word)
         if found is None:
             if len(self.words) >= MEMO:
                 self.words.clear()
-            found = self.words[chunk] = self.encoded(chunk)
+            found = self.words[word] = self.encoded(" " + word)
         return found
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
@@ -154,28 +170,34 @@ class ByteBPE:
         The text is cut before spaces that stand between two characters other than white space: no match of
         the pattern reaches across them, so the ids of the pieces can be remembered.
         """
-        pieces = text.split(" ")
-        get = self.words.get
-        out = []
-        held = pieces[0]
-        first = True
-        for piece in pieces[1:]:
-            if held and not held[-1].isspace() and piece and not piece[0].isspace():
-                key = held if first else " " + held
-                out.append(get(key) or self.look_up(key))
-                held, first = piece, False
-            else:
-                held = f"{held} {piece}"
-        if held or not first:
-            key = held if first else " " + held
-            out.append(get(key) or self.look_up(key))
-        out = [x for x in out if x[1]]
+        first, *words = text.split(" ")
+        if self.gaps(text):
+            joined, words = [first], words[::-1]
+            while words:  # a word that no clean cut comes before belongs to the one before it
+                word = words.pop()
+                before = joined[-1]
+                if before and word and not before[-1].isspace() and not word[0].isspace():
+                    joined.append(word)
+                else:
+                    joined[-1] = f"{before} {word}"
+            first, *words = joined
+        out = list(map(self.words.get, words))
+        if None in out:
+            out = [x or self.look_up(word) for x, word in zip(out, words, strict=True)]
+        if first:
+            out.insert(0, self.encoded(first))
         return np.frombuffer(b"".join([x[0] for x in out]), "<u4"), " ".join([x[1] for x in out])
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
 
+@functools.lru_cache(2)
+def worker_bpe(ranks_path: str, pattern: str) -> ByteBPE:
+    """One encoder for all tasks of a Python worker, so that later tasks find its memos filled."""
+    return ByteBPE(load_ranks(ranks_path), pattern)
+
+
 FIELDS = {"ids": "array<int>", "n_tokens": "bigint", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
@@ -188,7 +210,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, outputs=("i
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(load_ranks(ranks_path), pattern)
+        bpe = worker_bpe(ranks_path, pattern)
         for batch in slices(batches):
             ids, columns = [], {name: [] for name in outputs}
             for value in batch.column(1).to_pylist():
