@@ -7,6 +7,7 @@ documents, or of counts alone, fetches little more than those.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import list_array, new_path, shuffle_width, slices, table
 
 #: Remembered words of a worker, before it starts anew.
-MEMO = 500_000
+MEMO = 400_000
 #: How the files are laid out.
 LAYOUT = {
     "compression": "zstd",
@@ -67,6 +68,12 @@ class WordEncoder:
         return [np.frombuffer(b"".join([*map(memo.__getitem__, own), end]), "<i4") for own in words]
 
 
+@functools.lru_cache(2)
+def worker_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker, so that later tasks find its memo filled."""
+    return WordEncoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", layout: dict | None = None) -> None:
     """Encodes each whole text (null: empty), appends end_id and writes the files in ascending key order.
 
@@ -77,7 +84,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, k
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start, shard = WordEncoder(tokenizer_path), 0, TaskContext.get().partitionId()
+        encoder, start, shard = worker_encoder(tokenizer_path), 0, TaskContext.get().partitionId()
         for batch in slices(batches):
             found = encoder.encode(batch.column(1).to_pylist(), end_id)
             sizes = np.array([len(x) for x in found], np.int64)
