@@ -3,9 +3,10 @@
 from lattica.llm.additive_search import op4_additive_search
 from lattica.llm.byte_bpe import op8_byte_bpe
 from lattica.llm.exact_search import OP1_SQL, op1_exact_top_k
+from lattica.llm.jaccard_join import op2_jaccard_join
 from lattica.llm.mixing import op6_mix
 from lattica.llm.token_files import op3_token_files
 from lattica.llm.warc import OP10_SQL, op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_token_files, op4_additive_search, op6_mix, op8_byte_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_jaccard_join, op3_token_files, op4_additive_search, op6_mix, op8_byte_bpe, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op10_warc": OP10_SQL}
