@@ -273,7 +273,7 @@ def score(docs: DataFrame, field: QualityField, threshold: float = THRESHOLD) ->
             found = field.scores([(x or "").encode() for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*rest, "score", "predicted"])
 
-    schema = docs.select(*rest).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*rest).schema.add("score", "double").add("predicted", "integer")
     return docs.select(*rest).mapInArrow(run, schema)
 
 
