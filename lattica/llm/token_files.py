@@ -8,6 +8,8 @@ documents, or of counts alone, fetches little more than those.
 from __future__ import annotations
 
 import functools
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +23,10 @@ from pyspark.sql import functions as F
 from lattica.llm.common import list_array, new_path, shuffle_width, slices, table
 
 #: Remembered words of a worker, before it starts anew.
-MEMO = 400_000
+MEMO = 600_000
+#: Marks that never belong to the same pre-token as a letter or digit before them.
+MARKS = b".,;:!?%&*#$"
+BORDER = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,;:!?%&*#$])")
 #: How the files are laid out.
 LAYOUT = {
     "compression": "zstd",
@@ -41,7 +46,10 @@ class WordEncoder:
     """The tokenizers library's ids, remembered by word.
 
     The tokenizer drops white space before it merges, so a text's ids are those of the runs between ASCII
-    white space, one after another. Strings of special tokens count as ordinary text.
+    white space, one after another. It also ignores the case of ASCII letters (where no combining mark follows
+    that could compose with one case only), and parts a letter or digit from marks behind it. Words are therefore
+    looked up in lower case, and those not yet known without the marks at their end. Strings of special tokens
+    count as ordinary text.
     """
 
     def __init__(self, path: str):
@@ -55,17 +63,37 @@ class WordEncoder:
         self.memo: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        words = [(text or "").encode().split() for text in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
-        fresh = list({w for own in words for w in own if w not in memo})
+        memo, found, waiting, fresh = self.memo, [], [], set()
+        for text in texts:
+            data = (text or "").encode()
+            if b"\xcc" not in data and b"\xcd" not in data:
+                data = data.lower()
+            words = BORDER.sub(b" ", data).split()
+            own = list(map(memo.get, words))
+            found.append(own)
+            for i in [i for i, ids in enumerate(own) if ids is None]:
+                word = words[i]
+                body = word.rstrip(MARKS)
+                if len(body) == len(word) or not body[-4:].decode(errors="ignore").lower()[-1:].isalnum():
+                    body = word
+                marks = word[len(body) :]
+                if body in memo and (not marks or marks in memo):
+                    own[i] = memo[body] + memo[marks] if marks else memo[body]
+                else:
+                    waiting.append((own, i, body, marks))
+                    fresh.update((body, marks) if marks else (body,))
+        fresh = [w for w in fresh if w not in memo]
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                memo[word] = np.array(found.ids, "<i4").tobytes()
-        end = np.array([end_id], "<i4").tobytes()
-        return [np.frombuffer(b"".join([*map(memo.__getitem__, own), end]), "<i4") for own in words]
+            for word, encoded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                ids = encoded.ids
+                memo[word] = struct.pack(f"<{len(ids)}i", *ids)
+        for own, i, body, marks in waiting:
+            own[i] = memo[body] + memo[marks] if marks else memo[body]
+        end = struct.pack("<i", end_id)
+        return [np.frombuffer(b"".join([*own, end]), "<i4") for own in found]
 
 
 @functools.lru_cache(2)
