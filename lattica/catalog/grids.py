@@ -76,8 +76,8 @@ def mapping_forced_cell(spark, sf_dir):
 
 
 @query(
-    f"WITH {P_GRID}, e AS (SELECT s0.lo AS a0, s0.hi AS z0, s1.lo AS a1, s1.hi AS z1 FROM s0, s1)"
-    " SELECT greatest(a0, 12.5e0) AS lo0, greatest(a1, 925.5e0) AS lo1, least(z0, 33.5e0) AS hi0, least(z1, 961.5e0) AS hi1 FROM e WHERE a0 < 33.5e0 AND z0 > 12.5e0 AND a1 < 961.5e0 AND z1 > 925.5e0"
+    f"WITH {P_GRID}, e0 AS (SELECT lo AS a0, hi AS z0 FROM s0 UNION ALL SELECT max(hi), 'inf'::DOUBLE FROM s0), e1 AS (SELECT lo AS a1, hi AS z1 FROM s1 UNION ALL SELECT max(hi), 'inf'::DOUBLE FROM s1)"
+    " SELECT greatest(a0, 12.5e0) AS lo0, greatest(a1, 925.5e0) AS lo1, least(z0, 33.5e0) AS hi0, least(z1, 961.5e0) AS hi1 FROM e0, e1 WHERE a0 < 33.5e0 AND z0 > 12.5e0 AND a1 < 961.5e0 AND z1 > 925.5e0"
 )
 def decompose_box(spark, sf_dir):
     grid = Grid.fit(parts(spark, sf_dir), SHAPE2)
