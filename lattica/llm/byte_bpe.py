@@ -24,8 +24,14 @@ from pyspark.sql import functions as F
 from lattica.llm.common import list_array, slices, table
 
 #: Entries that a worker's memos hold before they start anew.
-MEMO = 400_000
+MEMO = 500_000
 PAIRS = 1_000_000
+#: White space other than ASCII's, white space beside white space or at an end, and places for cuts in UTF-8.
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
+GAP = re.compile(rb"\s\s|\A\s|\s\Z")
+SPACE = re.compile(rb"(?<=\S) (?=\S)")
+LINE = re.compile(rb"(?<=\S)\n(?=\S)")
+BORDER = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,;:!?%&*#$|])")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,8 +53,8 @@ class ByteBPE:
             self.bytes_of[i] = token
         self.size_of = list(map(len, self.bytes_of))
         self.find = regex.compile(pattern).findall
-        # White space beside a space, or at an end: only there may a match reach over a space (a superset, by Python's notion).
-        self.gaps = re.compile(r" \s|\s |^\s|\s$").search
+        self.odd_space = ODD_SPACE.search
+        self.gap = GAP.search
         self.trie = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.trie.add_word(token.decode("latin-1"), i)
@@ -56,8 +62,7 @@ class ByteBPE:
         self.prefix: list[int | None] = [None] * top
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[int, bool] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.memo: dict[bytes, tuple[bytes, str]] = {}
 
     def merged(self, piece: bytes, whole: bool = True) -> list[bytes]:
         """Plain merging, lowest rank first. With whole False, the last two parts of a token stay apart."""
@@ -145,47 +150,37 @@ class ByteBPE:
                 return [self.ranks[x] for x in self.merged(piece)]
 
     def encoded(self, chunk: str) -> tuple[bytes, str]:
-        ids: list[int] = []
-        for piece in self.find(chunk):
-            own = self.pieces.get(piece)
-            if own is None:
-                if len(self.pieces) >= MEMO:
-                    self.pieces.clear()
-                own = self.pieces[piece] = self.encode_piece(piece.encode())
-            ids += own
+        ids = [i for piece in self.find(chunk) for i in self.encode_piece(piece.encode())]
         return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(str, ids))
 
-    def look_up(self, word: str) -> tuple[bytes, str]:
-        """What a space and then the word encode to, remembered by the word."""
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            found = self.words[word] = self.encoded(" " + word)
-        return found
-
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids of a text, and their decimal forms joined by a space.
 
-        The text is cut before spaces that stand between two characters other than white space: no match of
-        the pattern reaches across them, so the ids of the pieces can be remembered.
+        The text is cut where no match of the pattern reaches across, and what pieces encode to is remembered:
+        before a space and around a line break that stand between other characters, and between a letter or
+        digit and a mark. Texts with white space beyond ASCII are matched as a whole.
         """
-        first, *words = text.split(" ")
-        if self.gaps(text):
-            joined, words = [first], words[::-1]
-            while words:  # a word that no clean cut comes before belongs to the one before it
-                word = words.pop()
-                before = joined[-1]
-                if before and word and not before[-1].isspace() and not word[0].isspace():
-                    joined.append(word)
-                else:
-                    joined[-1] = f"{before} {word}"
-            first, *words = joined
-        out = list(map(self.words.get, words))
+        if self.odd_space(text):
+            pieces = [x.encode() for x in self.find(text)]
+        else:
+            data = text.encode()
+            if self.gap(data):
+                data = LINE.sub(b"\xff\n\xff", SPACE.sub(b"\xff ", data))
+            else:
+                data = data.replace(b" ", b"\xff ").replace(b"\n", b"\xff\n\xff")
+            pieces = BORDER.sub(b"\xff", data).split(b"\xff") if data else []
+        memo = self.memo
+        out = list(map(memo.get, pieces))
         if None in out:
-            out = [x or self.look_up(word) for x, word in zip(out, words, strict=True)]
-        if first:
-            out.insert(0, self.encoded(first))
+            if len(memo) >= MEMO:
+                memo.clear()
+            for i, found in enumerate(out):
+                if found is None:
+                    piece = pieces[i]
+                    found = memo.get(piece)
+                    if found is None:
+                        found = memo[piece] = self.encoded(piece.decode())
+                    out[i] = found
         return np.frombuffer(b"".join([x[0] for x in out]), "<u4"), " ".join([x[1] for x in out])
 
     def decode(self, ids) -> bytes:
