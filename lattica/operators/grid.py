@@ -23,7 +23,7 @@ def step_of(x: Column, starts: Sequence[float]) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high + 1) // 2
-        return F.when(x >= F.lit(float(starts[middle])), among(middle, high)).otherwise(among(low, middle - 1))
+        return F.when(x >= F.lit(starts[middle]), among(middle, high)).otherwise(among(low, middle - 1))
 
     return among(0, len(starts) - 1)
 
