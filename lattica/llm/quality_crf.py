@@ -101,6 +101,13 @@ def line_features(texts: list[bytes]) -> Lines:
     return Lines(x[full], size[full], text[full])
 
 
+def features_of(texts: list[bytes], size: int = 128) -> Lines:
+    """The same for many texts, a few at a time: arrays of single bytes stay small."""
+    parts = [line_features(texts[i : i + size]) for i in range(0, len(texts), size)]
+    numbers = [part.text + i * size for i, part in enumerate(parts)]
+    return Lines(np.concatenate([part.x for part in parts]), np.concatenate([part.length for part in parts]), np.concatenate(numbers))
+
+
 def with_neighbours(x: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Each line's features, a constant, and the features of the line before and after in its text (zeros where there is none)."""
     before, after = np.zeros_like(x), np.zeros_like(x)
@@ -192,7 +199,7 @@ def train(texts: list[bytes], labels: np.ndarray, base: float, rounds: int = 150
     """Conditional likelihood of the lines' labels, each text counting once and each label by half; then the curve, at the base rate."""
     if len(set(labels.tolist())) < 2:
         return QualityField(base)
-    lines = line_features(texts)
+    lines = features_of(texts)
     if not len(lines.x):
         return QualityField(base)
     field = QualityField(base, lines.x.mean(0), lines.x.std(0) + 1e-6)
