@@ -2,43 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python worker turns into Python objects at a time.
-SLICE = 256
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    path = tempfile.mkdtemp(prefix="lattica-")
-    spark.sparkContext.setCheckpointDir(path)
-    return f"file://{path}"
-
+from lattica.sources.shared import new_path, shared_dir, shuffle_width, stash
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["SLICE", "held_out", "list_array", "new_path", "shared_dir", "shuffle_width", "slices", "stash", "table"]
 
-
-def stash(df: DataFrame, name: str, **options) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later steps don't depend on executors that made it."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows that a Python worker turns into Python objects at a time.
+SLICE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
