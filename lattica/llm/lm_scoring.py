@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import held_out, new_path, shuffle_width, slices, stash, table
+from lattica.llm.common import held_out, new_path, shuffle_width, slices, small_batches, stash, table
 from lattica.llm.words import A, lower_words, mix, word_hashes
 
 #: Documents of a batch, and the weight of word frequencies within a bigram's probability.
@@ -190,11 +190,20 @@ class BackoffAutomaton:
         return score[back], base[back], known[back]
 
 
+def from_files(docs: DataFrame) -> bool:
+    """Whether rows come straight from Parquet files, so that each has a place in one."""
+    nodes = docs._jdf.queryExecution().analyzed().collectLeaves()
+    names = {nodes.apply(i).nodeName() for i in range(nodes.size())}
+    return len(names) == 1 and names.pop().startswith("LogicalRelation") and not any(x in docs._jdf.queryExecution().analyzed().toString() for x in ("Join", "Aggregate", "Union", "Distinct", "Generate", "Window", "Repartition"))
+
+
 def batches_of(docs: DataFrame, size: int) -> DataFrame:
     """The documents with the number of a batch, contiguous in the input: rows of one block of one file.
 
     A table that doesn't come straight from files is written first.
     """
+    docs = docs.select("doc_id", "held_out", "text")
+    docs = docs if from_files(docs) else stash(docs, "lm-documents")
     place = [F.col(f"_metadata.{x}") for x in ("file_path", "file_block_start")]
     block = F.floor(F.col("_metadata.row_index") / size)
     return docs.select("doc_id", "held_out", "text", F.xxhash64(*place, block).alias("batch"))
@@ -207,7 +216,7 @@ def score_documents(docs: DataFrame, weight: float = WEIGHT, batch: int = BATCH)
     be null or repeat. Other columns are left out. Without training texts every token costs what the root asks.
     docs is read twice and must be the same both times; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     shards = shuffle_width(spark)
     batched = batches_of(docs, batch)
     answered = stash(answers(requests(batched, shards), shards), "lm-counts")

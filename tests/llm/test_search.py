@@ -1,0 +1,128 @@
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lattica.llm.additive_search import Codebooks, build_index, fit_codebooks, nearest, op4_additive_search
+from lattica.llm.exact_search import OP1_SQL, exact_top_k, op1_exact_top_k
+from lattica.llm.tiles import best_of, finite
+
+
+def test_best_of_ties():
+    keys, ids = np.array([3, 1, 1, 2, 1]), np.array([5, 9, 4, 1, 7])
+    assert ids[best_of(keys, ids, 2)].tolist() == [4, 7]
+    assert ids[best_of(keys, ids, 9)].tolist() == [4, 7, 9, 1, 5]
+
+
+def top(rows, queries, k):
+    out = []
+    for q, v in queries:
+        found = sorted({(-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i is not None and i != q and w is not None and len(w) == len(v)})
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])]
+    return sorted(out)
+
+
+def test_exact_top_k_of_odd_rows(spark):
+    draw = np.random.default_rng(2)
+    rows = [(int(i), draw.integers(-3, 4, 4).tolist()) for i in range(60)]
+    rows += [(7, rows[7][1]), (100, None), (101, []), (None, [1, 1, 1, 1]), (102, [1, 2]), (103, [2, 1]), (104, rows[7][1])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, v array<long>, score string")
+    queries = [(i, v) for i, v in rows if i in (0, 7, 102, 104)]
+    queries = [q for n, q in enumerate(queries) if q not in queries[:n]]
+    asked = df.where("vec_id in (0, 7, 102, 104)")
+    assert sorted(map(tuple, exact_top_k(asked, df, 5).collect())) == top(rows, queries, 5)
+    assert exact_top_k(asked, df.where("vec_id < 0"), 5).count() == 0
+    assert exact_top_k(asked.where("vec_id < 0"), df, 5).count() == 0
+
+
+def test_many_tiles(spark, monkeypatch):
+    from lattica.llm import tiles
+
+    monkeypatch.setattr(tiles.tiles, "__defaults__", (3, 4))
+    monkeypatch.setattr(tiles, "FAN_IN", 2)
+    draw = np.random.default_rng(4)
+    rows = [(int(i), draw.integers(-2, 3, 3).tolist()) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    assert sorted(map(tuple, exact_top_k(df.where("vec_id % 5 = 0"), df, 4).collect())) == top(rows, [r for r in rows if r[0] % 5 == 0], 4)
+
+
+@pytest.mark.parametrize("big", [1 << 27, 1 << 30, 1 << 62])
+def test_large_products(spark, big):
+    rows = [(0, [big, big]), (1, [big, -big]), (2, [big - 1, big]), (3, [1, 0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    most = (1 << 63) - 1
+    expected = sorted((-max(-most, min(most, big * w[0] + big * w[1])), i) for i, w in rows[1:])
+    found = [(-r["score"], r["vec_id"]) for r in exact_top_k(df.where("vec_id = 0"), df, 3).orderBy("rank").collect()]
+    assert found == expected
+
+
+def test_finite(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, None]), (3, [float("nan")]), (4, [float("inf")]), (5, None), (6, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [r["vec_id"] for r in df.where(finite(F.col("embedding"))).collect()] == [1]
+
+
+def test_exact_query(spark, sf_dir):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    columns = ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, op1_exact_top_k(spark, sf_dir).select(*columns).collect())) == sorted(db.sql(f"SELECT {', '.join(columns)} FROM ({OP1_SQL})").fetchall())
+
+
+def distances(v, q):
+    d = np.sqrt(((v - v[q]) ** 2).sum(1))
+    d[q] = np.inf
+    return d
+
+
+def test_approximate_recall(spark):
+    draw = np.random.default_rng(8)
+    v = (draw.normal(size=(6, 16))[draw.integers(0, 6, 4000)] + draw.normal(size=(4000, 16)) * 0.5).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    model = fit_codebooks(df)
+    index = build_index(df, model).cache()
+    found = nearest(df.where("vec_id % 100 = 0"), index, model, 10, rerank=100).toPandas()
+    hits = 0
+    for q, rows in found.groupby("query_id"):
+        rows, d = rows.sort_values("rank"), distances(v, q)
+        assert len(rows) == 10 and (np.diff(rows.score) >= 0).all()
+        np.testing.assert_array_equal(rows.score, d[rows.vec_id])
+        hits += len(set(rows.vec_id) & set(np.argsort(d, kind="stable")[:10]))
+    assert hits / (10 * 40) >= 0.95
+
+
+def test_codes_add_up():
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(3000, 8))
+    model = Codebooks.fit(x, books=4, words=32)
+    codes, norms = model.encode(x)
+    sums = sum(model.books[m][codes[:, m]] for m in range(4))
+    np.testing.assert_allclose(norms, (sums**2).sum(1), rtol=1e-3, atol=1e-3)
+    rough = model.approximate(x[:5], codes, norms) + (x[:5] ** 2).sum(1)[:, None]
+    np.testing.assert_allclose(rough, ((x[:5, None] - sums[None]) ** 2).sum(2), rtol=1e-2, atol=1e-2)
+    wide, _ = model.encode(x, beam=8)
+    narrow, _ = model.encode(x, beam=1)
+    error = lambda c: ((x - sum(model.books[m][c[:, m]] for m in range(4))) ** 2).sum()
+    assert error(wide) <= error(narrow)
+
+
+def test_approximate_odd_rows(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)] + [(40, [1.0, 2.0, 3.0]), (41, [1.0, 2.0, 4.0]), (42, None), (None, [1.0, 1.0]), (5, [5.0, 1.0]), (43, [])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, v array<double>, code int")
+    good = df.where("v is not null and size(v) > 0 and vec_id is not null")
+    model = fit_codebooks(good)
+    index = build_index(good, model)
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in nearest(df.where("vec_id in (0, 40)"), index, model, 3).collect()}
+    assert found == {(0, 1): (1, 1.0), (0, 2): (2, 2.0), (0, 3): (3, 3.0), (40, 1): (41, 1.0)}
+    none = good.where("vec_id < 0")
+    assert nearest(none, build_index(none, fit_codebooks(none)), fit_codebooks(none), 3).count() == 0
+
+
+def test_approximate_query(spark, sf_dir):
+    found = op4_additive_search(spark, sf_dir).toPandas()
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
+    v, hits = np.stack(e.embedding.values).astype(float), 0
+    for q in np.flatnonzero(e.vec_id % 100 == 0):
+        own = found[found.query_id == e.vec_id[q]].sort_values("rank")
+        hits += len(set(own.vec_id) & set(e.vec_id[np.argsort(distances(v, q), kind="stable")[:10]]))
+    assert hits >= 0.9 * len(found)
