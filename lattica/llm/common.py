@@ -10,10 +10,20 @@ from pyspark.sql import functions as F
 
 from lattica.sources.shared import new_path, shared_dir, shuffle_width, stash
 
-__all__ = ["SLICE", "held_out", "list_array", "new_path", "shared_dir", "shuffle_width", "slices", "stash", "table"]
+__all__ = ["SLICE", "held_out", "list_array", "new_path", "shared_dir", "shuffle_width", "slices", "small_batches", "stash", "table"]
 
 #: Rows that a Python worker turns into Python objects at a time.
 SLICE = 256
+#: Bytes of the batches that Spark sends to Python workers: a few long texts fill one.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session was told to bound batches for Python by bytes (unless it has a bound of its own)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import list_array, slices, table
+from lattica.llm.common import list_array, slices, small_batches, table
 
 #: Pre-tokens of a leaf (up to twice as many after edits), children of an inner node.
 LEAF, FAN_OUT = 256, 16
@@ -181,7 +181,7 @@ def build_trees(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *leaves], names=["doc_id", "text", "piece_chars", "piece_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, text string, piece_chars array<int>, piece_tokens array<int>")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, text string, piece_chars array<int>, piece_tokens array<int>")
 
 
 def edit_counts(rows: DataFrame, ranks_path: str, pattern: str, keep: bool = False) -> DataFrame:
@@ -222,7 +222,7 @@ def edit_counts(rows: DataFrame, ranks_path: str, pattern: str, keep: bool = Fal
     counts = ["tokens_before", "n_edits", "tokens_after", "chars_after", "pieces_encoded", "chars_encoded"]
     names = ["doc_id", *counts, *(["text", *leaves] if keep else [])]
     schema = f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in counts) + (", text string, piece_chars array<int>, piece_tokens array<int>" if keep else "")
-    return rows.select("doc_id", F.col("text").cast("string").alias("text"), "edits", *kept).mapInArrow(run, schema)
+    return small_batches(rows).select("doc_id", F.col("text").cast("string").alias("text"), "edits", *kept).mapInArrow(run, schema)
 
 
 def seeded_edits(doc_id, text, n: int = 4):

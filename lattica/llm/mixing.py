@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import slices, stash, table
+from lattica.llm.common import slices, small_batches, stash, table
 
 #: Words that the knapsack settles; the rest of a budget is dealt in proportion before.
 WINDOW = 1 << 16
@@ -77,7 +77,7 @@ def word_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "size"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(source).cast("string"), F.col(text).cast("string")).mapInArrow(run, f"doc_id {kind}, source string, size bigint")
+    return small_batches(docs).select(F.col(key), F.col(source).cast("string"), F.col(text).cast("string")).mapInArrow(run, f"doc_id {kind}, source string, size bigint")
 
 
 def share_out(sizes: list[int], weights: list[float], limit: int = 3) -> list[float]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import held_out, slices, table
+from lattica.llm.common import held_out, slices, small_batches, table
 from lattica.llm.words import A, mix
 
 #: Labelled documents of each label that the field learns from at most, and characters of all of them.
@@ -281,7 +281,7 @@ def score(docs: DataFrame, field: QualityField, threshold: float = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*rest, "score", "predicted"])
 
     schema = docs.select(*rest).schema.add("score", "double").add("predicted", "integer")
-    return docs.select(*rest).mapInArrow(run, schema)
+    return small_batches(docs).select(*rest).mapInArrow(run, schema)
 
 
 def learn_and_score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import new_path, shuffle_width, slices, stash, table
+from lattica.llm.common import new_path, shuffle_width, slices, small_batches, stash, table
 
 #: Bytes of compressed records after which a writer begins another file.
 FILE_BYTES = 64 << 20
@@ -151,7 +151,7 @@ def write_archives(marked: DataFrame, path: str, date: str = "2024-01-01T00:00:0
             made.append((name, records, size))
         yield pa.RecordBatch.from_pydict({"file": [x[0] for x in made], "records": [x[1] for x in made], "bytes": [x[2] for x in made]}, pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return stash(marked.mapInArrow(run, "file string, records bigint, bytes bigint"), "warc-manifest")
+    return stash(small_batches(marked).mapInArrow(run, "file string, records bigint, bytes bigint"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, path: str) -> DataFrame:
