@@ -2,8 +2,10 @@
 
 1. Routing. Two sets of sizes s and s' that reach the threshold t differ in at most D = (s + s') (1 - t) / (1 + t)
    shingles. Sets are cut into P > D segments by ranges of the hash; at least P - D segments are then the same in
-   both. Every document leaves out its P - D - 1 weakest segments (fewest shingles, ties by content) and announces
-   the rest: the strongest segment that two linked documents share is announced by both, so no link is lost.
+   both. Every document leaves out its P - D - 1 weakest segments and announces the rest: the strongest segment
+   that two linked documents share is announced by both, so no link is lost, whatever is called strong, as long as
+   it follows from a segment's content. A segment is as strong as its rarest shingle is rare, by a table of counts
+   over all documents that has a fixed size: passages that many documents share don't bring those together.
    D depends on the size, so sizes fall into bands, and a document announces to its own band and the next.
    Documents that share an announcement fall into one candidate group.
 2. Join. Each group's distinct sets go to one task (a large group is cut into blocks by size and hash, and each
@@ -19,16 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import shuffle_width, slices, stash, table
+from lattica.llm.common import shuffle_width, slices, small_batches, stash, table
 from lattica.llm.graph import components
 from lattica.llm.words import mix, shingle_set
 
 #: Documents whose announcements are combined before they are shuffled.
 CHUNK = 4096
+#: Cells of the table of counts (a power of two), pieces that it is summed up in, and segments beyond D + 1, as a share of them.
+CELLS, PIECES, SPARE = 1 << 20, 64, 0.6
 #: Shingles of a block; larger groups are cut.
 BLOCK = 2_000_000
 #: Documents and shingles of a leaf, children of a node.
@@ -43,7 +48,7 @@ class Bands:
     def __init__(self, percent: int):
         self.t, starts = percent, [1]
         while starts[-1] < 1 << 31:
-            starts.append(starts[-1] * 100 // percent + 1)
+            starts.append(starts[-1] * 100 // percent + 1 if percent < 100 else 2 * starts[-1])
         self.starts = np.array(starts, np.int64)
 
     def of(self, size):
@@ -57,11 +62,47 @@ class Bands:
         return 100 * overlap >= self.t * (a + b - overlap)
 
 
-def announcements(shingles: np.ndarray, bands: Bands, cuts: dict[int, np.ndarray]) -> np.ndarray:
-    """Hashes of the segments that a set announces, to its band and the next."""
+def cell_of(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles + np.uint64(0x1234567)) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def shingle_counts(docs: DataFrame, n: int, parts: int) -> np.ndarray:
+    """How many shingles of all documents fall into each cell: 4 MB, however many documents there are."""
+    size = CELLS // PIECES
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in slices(batches):
+            found = [shingle_set(text, n) for text in batch.column(0).to_pylist()]
+            counts += np.bincount(cell_of(np.concatenate(found)), minlength=CELLS)
+        counts = np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([counts[i * size : (i + 1) * size].tobytes() for i in range(PIECES)], pa.binary())], names=["piece", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(counts, np.uint32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["piece", "counts"])
+
+    schema = "piece int, counts binary"
+    pieces = docs.select(F.col("text").cast("string")).mapInArrow(counted, schema)
+    rows = pieces.repartitionById(min(parts, PIECES), F.col("piece")).mapInArrow(summed, schema).collect()
+    table = np.zeros(CELLS, np.float32)
+    for row in rows:
+        table[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row["counts"], np.float32)
+    return table
+
+
+def announcements(shingles: np.ndarray, bands: Bands, cuts: dict[int, np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """Hashes of the segments that a set announces, to its band and the next.
+
+    A segment with a shingle that no other document has meets nothing and is not announced.
+    """
     size = len(shingles)
     own = int(bands.of(size))
     mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
+    rarity = counts[cell_of(shingles)]
     out = []
     for band in (own, own + 1):
         if band > own and size * 100 // bands.t < bands.starts[band]:
@@ -69,13 +110,16 @@ def announcements(shingles: np.ndarray, bands: Bands, cuts: dict[int, np.ndarray
         most = bands.differences(band)
         if not most:  # alike sets only: the whole set's hash is announced anyway
             continue
-        n = most + 1 + (most + 1) * 3 // 10
+        n = most + 1 + int((most + 1) * SPARE)
         if n not in cuts:
             cuts[n] = np.array([(i << 64) // n for i in range(n)], np.uint64)
         ends = np.append(np.searchsorted(shingles, cuts[n]), size)
         segment = mix((mixed[ends[1:]] - mixed[ends[:-1]]) ^ mix(np.arange(n, dtype=np.uint64) + np.uint64(band << 32)))
-        strength = np.diff(ends) + segment.astype(np.float64) / 2.0**65
-        out.append(segment[np.argpartition(strength, n - most - 1)[n - most - 1 :]])
+        full = np.flatnonzero(ends[1:] > ends[:-1])
+        common = np.full(n, np.inf)
+        common[full] = np.minimum.reduceat(rarity, ends[:-1][full])
+        kept = np.lexsort((segment, common))[: most + 1]
+        out.append(segment[kept[common[kept] > 1]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -84,7 +128,7 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(shingles ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for salt in (0x1357, 0x2468ACE))
 
 
-def announce(docs: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
+def announce(docs: DataFrame, n: int, percent: int, parts: int, counts: Broadcast) -> DataFrame:
     """Packed rows: part and arrays of announcements and their documents, or (part null) one document's doc_id, size and set hash."""
     fields = pa.schema([("part", pa.int32()), ("seals", pa.binary()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("size", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
@@ -121,7 +165,7 @@ def announce(docs: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
                 h1, h2 = set_hash(shingles)
                 rows.append((doc, len(shingles), h1, h2))
                 if doc is not None and len(shingles):
-                    seals.append(np.append(announcements(shingles, bands, cuts), np.array([h1 ^ h2], np.int64).view(np.uint64)))
+                    seals.append(np.append(announcements(shingles, bands, cuts, counts.value), np.array([h1 ^ h2], np.int64).view(np.uint64)))
                     ids.append(doc)
                     held += len(seals[-1])
             none = pa.nulls(len(rows), pa.binary())
@@ -274,17 +318,18 @@ class Forest:
 def join_groups(rows: DataFrame, n: int, percent: int, width: int, all_pairs: bool = False) -> DataFrame:
     """a, b, links: links between representatives that hold a task's links together (b set), and how many texts a links with (b null).
 
-    rows: task, side, rep, copies, text. With all_pairs, every link between representatives is a row.
+    rows: task, side (0: the task's sets join each other; 1 and 2: those of one side join the other's), rep, copies,
+    text. With all_pairs, every link between representatives is a row.
     """
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
     def one_task(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        sides = [[x for x in found if x[0] == side] for side in (0, 1)]
-        sets = [[shingle_set(x[3], n) for x in own] for own in sides]
-        crossed = bool(sides[1])
-        if not sides[0] or (len(sides[0]) < 2 and not crossed):
+        crossed = found[0][0] > 0
+        sides = [[x for x in found if x[0] == side] for side in ((1, 2) if crossed else (0,))]
+        if len(found) < 2 or not all(sides):
             return
+        sets = [[shingle_set(x[3], n) for x in own] for own in sides]
         reps = np.array([x[1] for own in sides for x in own], np.int64)
         copies = np.array([x[2] for own in sides for x in own], np.int64)
         links, forest, edges = np.zeros(len(reps), np.int64), Forest(len(reps)), []
@@ -321,7 +366,7 @@ def join_groups(rows: DataFrame, n: int, percent: int, width: int, all_pairs: bo
 
 
 def deal_tasks(reps: DataFrame, percent: int, block: int) -> DataFrame:
-    """task, side, rep, copies for each representative (rep, copies, size, component): once in most cases.
+    """task, side, rep, copies for each representative (rep, copies, size, component): once in most cases, on side 0.
 
     A group of more than block shingles is cut into blocks by band of size and hash; a task then is a pair of
     blocks of the same or of neighbouring bands, and a block goes to each of its pairs.
@@ -347,9 +392,9 @@ def deal_tasks(reps: DataFrame, percent: int, block: int) -> DataFrame:
     def each(n, f):
         return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda j: j < n), f)
 
-    same = each(F.col("blocks"), lambda j: F.struct(task(band, F.least(own, j), band, F.greatest(own, j)).alias("task"), F.when(own <= j, 0).otherwise(1).alias("side")))
-    up = each(F.col("after"), lambda j: F.struct(task(band, own, band + 1, j).alias("task"), F.lit(0).alias("side")))
-    down = each(F.col("before"), lambda j: F.struct(task(band - 1, j, band, own).alias("task"), F.lit(1).alias("side")))
+    same = each(F.col("blocks"), lambda j: F.struct(task(band, F.least(own, j), band, F.greatest(own, j)).alias("task"), F.when(own == j, 0).when(own < j, 1).otherwise(2).alias("side")))
+    up = each(F.col("after"), lambda j: F.struct(task(band, own, band + 1, j).alias("task"), F.lit(1).alias("side")))
+    down = each(F.col("before"), lambda j: F.struct(task(band - 1, j, band, own).alias("task"), F.lit(2).alias("side")))
     whole = F.array(F.struct(F.col("component").cast("string").alias("task"), F.lit(0).alias("side")))
     tasks = F.when(F.col("blocks") == 0, whole).otherwise(F.concat(same, up, down))
     return rows.select("rep", "copies", F.explode(tasks).alias("to")).select("to.task", "to.side", "rep", "copies")
@@ -361,9 +406,10 @@ def similarity_join(docs: DataFrame, n: int = 5, percent: int = 80, block: int =
     links has a row with b for links that hold all linked classes together (with all_pairs: for every link), and
     rows without b whose sum over links is the number of documents of other classes that a links with.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     width = shuffle_width(spark)
-    announced = stash(announce(docs, n, percent, width), "announced")
+    counts = spark.sparkContext.broadcast(shingle_counts(docs, n, width))  # 4 MB
+    announced = stash(announce(docs, n, percent, width, counts), "announced")
     sized = announced.where("part is null").select("doc_id", F.col("size").alias("n_shingles"), "h1", "h2")
     classes = sized.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"))
     groups = components(meetings(announced, width))
@@ -381,7 +427,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: in
     Documents link when 100 * |intersection| >= percent * |union| of their sets of n-word shingles. component_id is
     the smallest doc_id that links reach. n_links counts the other documents that it links with, copies included.
     Null or wordless texts have no shingles and link with nothing. Rows without a doc_id get no component and no
-    links. Rows that share a doc_id are one document of several texts. An empty table gives no rows.
+    links. Rows that share a doc_id are documents of their own that happen to have one name. An empty table gives
+    no rows.
     """
     sized, classes, links = similarity_join(docs, n, percent, block)
     joined = components(links.where("b is not null").select("a", "b"))
