@@ -23,7 +23,7 @@ from lattica.llm.tiles import best_of, by_length, finite, search, stacked, vecto
 #: Rows that codebooks are fitted on, at most.
 SAMPLE = 16_384
 #: Codebooks, codewords of each, sums that a beam keeps, rounds of k-means.
-BOOKS, WORDS, BEAM, ROUNDS = 8, 256, 4, 8
+BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 8
 #: Of each query and tile, the rows that are ranked again by true distance.
 RERANK = 256
 STRIP = 64
