@@ -64,6 +64,14 @@ def box_overlap_selfjoin(spark, sf_dir):
     return a.join(b, (F.col("a.c_nationkey") < F.col("b.c_nationkey")) & G.boxes_overlap(lo_a, hi_a, lo_b, hi_b)).select(F.col("a.c_nationkey").alias("a"), F.col("b.c_nationkey").alias("b"))
 
 
+@query(f"WITH {C}, m AS (SELECT c_nationkey AS k, {MBR} FROM c GROUP BY 1) SELECT a.k AS a, b.k AS b, CASE WHEN a.hi0 > b.lo0 AND a.hi1 > b.lo1 THEN 1 ELSE -1 END AS comes FROM m a JOIN m b ON a.k <> b.k")
+def box_order(spark, sf_dir):
+    m = customers(spark, sf_dir).bounding_box("c_nationkey")
+    a, b = m.alias("a"), m.alias("b")
+    comes = G.box_order(G.vector("hi", 2, "a"), G.vector("lo", 2, "b"))
+    return a.join(b, F.col("a.c_nationkey") != F.col("b.c_nationkey")).select(F.col("a.c_nationkey").alias("a"), F.col("b.c_nationkey").alias("b"), comes.alias("comes"))
+
+
 NEAR = "(greatest(10e0 - x0, x0 - 30e0, 0e0) * greatest(10e0 - x0, x0 - 30e0, 0e0) + greatest(920e0 - x1, x1 - 960e0, 0e0) * greatest(920e0 - x1, x1 - 960e0, 0e0))"
 
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from lattica.catalog.base import D2, L, LINE_KEY, P, Q, grid_sql, lines, parts, queries_of, query, read
+from lattica.catalog.base import D2, L, LINE_KEY, P, Q, boxes_of, grid_sql, lines, parts, queries_of, query, read
 from lattica.catalog.kernels import Q2, squares
 from lattica.functions import geometry as G
 from lattica.operators.box_tree import BoxTree, parent_chains, split_until
@@ -98,6 +98,16 @@ def rtree_insert(spark, sf_dir):
     return tree.nodes.where("parent is null").select("n", "lo0", "lo1", "hi0", "hi1")
 
 
+@query()
+def rtree_box_cost(spark, sf_dir):
+    """Nodes that a search of each box opens, inner ones included, leaves of them, and points tested."""
+    nodes = BoxTree.build(parts(spark, sf_dir)).nodes
+    meets = G.boxes_overlap(G.vector("lo", 2, "n"), G.vector("hi", 2, "n"), G.vector("lo", 2, "b"), G.vector("hi", 2, "b"))
+    opened = nodes.alias("n").join(search.bounded_broadcast(boxes_of(spark, sf_dir)).alias("b"), meets)
+    leaf = F.col("n.is_leaf")
+    return opened.groupBy("b.bid").agg(F.count(F.lit(1)).alias("nodes_visited"), F.count(F.when(leaf, 1)).alias("leaf_pages"), F.sum(F.when(leaf, F.col("n.n")).otherwise(0)).alias("tested"))
+
+
 @query()
 def rtree_nodes(spark, sf_dir):
     """Nodes, entries and heights by level of a tree over all lines."""

@@ -57,6 +57,11 @@ def boxes_overlap(lo1: Vector, hi1: Vector, lo2: Vector, hi2: Vector) -> Column:
     return all_of([intervals_overlap(*x) for x in zip(lo1, hi1, lo2, hi2, strict=True)])
 
 
+def box_order(hi1: Vector, lo2: Vector) -> Column:
+    """1 if the first box reaches beyond the second's lower corner in every dimension, else -1. Not a total order."""
+    return F.when(all_of([a > b for a, b in zip(hi1, lo2, strict=True)]), F.lit(1)).otherwise(F.lit(-1))
+
+
 def min_distance_squared(p: Vector, lo: Vector, hi: Vector) -> Column:
     """To the nearest point of the box; 0 inside."""
     return reduce(add, [square(F.greatest(a - x, x - b, F.lit(0.0))) for x, a, b in zip(p, lo, hi, strict=True)])
