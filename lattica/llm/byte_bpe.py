@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import list_array, slices, table
+from lattica.llm.common import list_array, slices, small_batches, table
 
 #: Entries that a worker's memos hold before they start anew.
-MEMO = 500_000
-PAIRS = 1_000_000
+MEMO = 350_000
+PAIRS = 400_000
 #: White space other than ASCII's, white space beside white space or at an end, and places for cuts in UTF-8.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 GAP = re.compile(rb"\s\s|\A\s|\s\Z")
@@ -62,7 +62,8 @@ class ByteBPE:
         self.prefix: list[int | None] = [None] * top
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[int, bool] = {}
-        self.memo: dict[bytes, tuple[bytes, str]] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.said = list(map(str, range(top)))
 
     def merged(self, piece: bytes, whole: bool = True) -> list[bytes]:
         """Plain merging, lowest rank first. With whole False, the last two parts of a token stay apart."""
@@ -149,12 +150,16 @@ class ByteBPE:
             else:  # bytes without a token of their own
                 return [self.ranks[x] for x in self.merged(piece)]
 
-    def encoded(self, chunk: str) -> tuple[bytes, str]:
+    def encoded(self, chunk: str) -> bytes:
         ids = [i for piece in self.find(chunk) for i in self.encode_piece(piece.encode())]
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(str, ids))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """The ids of a text, and their decimal forms joined by a space.
+    def decimals(self, ids: np.ndarray) -> str:
+        """The ids in decimal, joined by a space."""
+        return " ".join(map(self.said.__getitem__, ids.tolist()))
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text.
 
         The text is cut where no match of the pattern reaches across, and what pieces encode to is remembered:
         before a space and around a line break that stand between other characters, and between a letter or
@@ -181,7 +186,7 @@ class ByteBPE:
                     if found is None:
                         found = memo[piece] = self.encoded(piece.decode())
                     out[i] = found
-        return np.frombuffer(b"".join([x[0] for x in out]), "<u4"), " ".join([x[1] for x in out])
+        return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
@@ -209,13 +214,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, outputs=("i
         for batch in slices(batches):
             ids, columns = [], {name: [] for name in outputs}
             for value in batch.column(1).to_pylist():
-                own, said = bpe.encode(value or "")
+                own = bpe.encode(value or "")
                 if "ids" in columns:
                     ids.append(own)
                 if "n_tokens" in columns:
                     columns["n_tokens"].append(len(own))
                 if "ids_sha256" in columns:
-                    columns["ids_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
+                    columns["ids_sha256"].append(hashlib.sha256(bpe.decimals(own).encode()).hexdigest())
                 if "decoded" in columns or "decoded_sha256" in columns:
                     back = bpe.decode(own)
                     if "decoded" in columns:
@@ -230,7 +235,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, outputs=("i
                     arrays.append(pa.array(columns[name], {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[FIELDS[name]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, *outputs])
 
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{x} {FIELDS[x]}" for x in outputs))
+    return small_batches(docs).select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{x} {FIELDS[x]}" for x in outputs))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -243,7 +248,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, key: str = "doc_id", i
             out = [b"".join(map(bytes_of.__getitem__, x or ())) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[key, "decoded"])
 
-    return encoded.select(F.col(key), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, decoded binary")
+    return small_batches(encoded).select(F.col(key), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, decoded binary")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
