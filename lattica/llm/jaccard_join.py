@@ -180,9 +180,13 @@ def announce(docs: DataFrame, n: int, percent: int, parts: int, counts: Broadcas
 
 
 def meetings(announced: DataFrame, parts: int) -> DataFrame:
-    """a, b: each document that shares an announcement, with the smallest that shares it."""
+    """a, b: each document that shares an announcement, with the smallest that shares it; each pair once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A pair that shares many announcements is found in many tasks. They send their pairs packed, by document, so that
+    one more task each can drop the repetitions.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seals, ids = [], []
         for batch in batches:
             seals += [np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()]
@@ -196,11 +200,24 @@ def meetings(announced: DataFrame, parts: int) -> DataFrame:
         first = np.append(True, seal[1:] != seal[:-1])
         least = doc[first][np.cumsum(first) - 1]
         pairs = np.unique(np.stack([doc, least], 1)[doc != least], axis=0)
-        for i in range(0, len(pairs), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 65536, c]) for c in (0, 1)], names=["a", "b"])
+        part = (mix(pairs[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, pairs = part[order], pairs[order]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
+        packed = [x.tobytes() for x in np.split(pairs, starts[1:])] if len(part) else []
+        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(packed, pa.binary())], names=["part", "pairs"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((0, 2), np.int64)
+        for batch in batches:
+            fresh = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column(0).to_pylist()]
+            found = np.unique(np.concatenate([found, *fresh]), axis=0)
+        for i in range(0, len(found), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 65536, c]) for c in (0, 1)], names=["a", "b"])
 
     rows = announced.where("part is not null").repartitionById(parts, F.col("part")).select("seals", "ids")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    packed = rows.mapInArrow(met, "part int, pairs binary").repartitionById(parts, F.col("part"))
+    return packed.select("pairs").mapInArrow(once, "a bigint, b bigint")
 
 
 class SignatureTree:
