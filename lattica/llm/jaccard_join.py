@@ -459,3 +459,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: in
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+), u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), k AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)
+), e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k
+), r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a
+), m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY 1
+), d AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM s JOIN m USING (doc_id) LEFT JOIN d USING (doc_id)
+"""
