@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import held_out, slices, small_batches, table
+from lattica.llm.common import held_out, slices, small_batches, stash, table
 from lattica.llm.words import A, mix
 
 #: Labelled documents of each label that the field learns from at most, and characters of all of them.
@@ -245,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.length("text")).alias("chars"))
-    known = sizes.join(marks, "doc_id").where("chars > 0")
+    known = stash(sizes.join(marks, "doc_id").where("chars > 0"), "labelled")
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     n = sum(counts.values())
     if not n:
