@@ -20,16 +20,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import list_array, new_path, shuffle_width, slices, table
+from lattica.llm.common import list_array, new_path, shuffle_width, slices, small_batches, table
+from lattica.operators.grid import step_of
 
 #: Remembered words of a worker, before it starts anew.
-MEMO = 600_000
+MEMO = 800_000
 #: Marks that never belong to the same pre-token as a letter or digit before them.
 MARKS = b".,;:!?%&*#$"
+#: Stands between words that are encoded together.
+BETWEEN = b" \x01 "
+MARK_LIST = [bytes([mark]) for mark in MARKS]
 BORDER = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,;:!?%&*#$])")
+#: Kinds of bytes: letters and digits (a), white space, marks (.), other ASCII (-), beyond ASCII (x).
+KINDS = bytes(ord("x" if i > 127 else "a" if chr(i).isalnum() else " " if i in b" \t\n\r\v\f" else "." if i in MARKS else "-") for i in range(256))
 #: How the files are laid out.
 LAYOUT = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.writer.version": "v2",
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
@@ -61,19 +67,48 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
+        ids = self.tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids
+        self.between = ids[0] if len(ids) == 1 else -1
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encodes words at once, with a mark between them that is a token of its own, or else one by one."""
+        data = BETWEEN.join(words)
+        if data.count(BETWEEN) == len(words) - 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([data.decode()], add_special_tokens=False)[0].ids, "<i4")
+            cuts = np.flatnonzero(ids == self.between).tolist()
+            if len(cuts) == len(words) - 1:
+                packed = ids.tobytes()
+                for word, a, b in zip(words, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                    self.memo[word] = packed[4 * a + 4 : 4 * b]
+                return
+        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.memo[word] = struct.pack(f"<{len(found.ids)}i", *found.ids)
+
+    def encode(self, texts: list[str | bytes | None], end_id: int) -> list[np.ndarray]:
+        return [np.frombuffer(x, "<i4") for x in self.packed(texts, end_id)]
+
+    def packed(self, texts: list[str | bytes | None], end_id: int) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers. Texts may be given in UTF-8."""
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo, found, waiting, fresh = self.memo, [], [], set()
         for text in texts:
-            data = (text or "").encode()
+            data = text if isinstance(text, bytes) else (text or "").encode()
             if b"\xcc" not in data and b"\xcd" not in data:
                 data = data.lower()
-            words = BORDER.sub(b" ", data).split()
+            kinds = data.translate(KINDS)
+            if b".." in kinds or b"-." in kinds or b"x." in kinds:
+                words = BORDER.sub(b" ", data).split()
+            else:  # every mark follows a letter, a digit or a space
+                for mark in MARK_LIST:
+                    if mark in data:
+                        data = data.replace(mark, b" " + mark)
+                words = data.split()
             own = list(map(memo.get, words))
             found.append(own)
-            for i in [i for i, ids in enumerate(own) if ids is None]:
+            i = -1
+            for _ in range(own.count(None)):
+                i = own.index(None, i + 1)
                 word = words[i]
                 body = word.rstrip(MARKS)
                 if len(body) == len(word) or not body[-4:].decode(errors="ignore").lower()[-1:].isalnum():
@@ -86,14 +121,13 @@ class WordEncoder:
                     fresh.update((body, marks) if marks else (body,))
         fresh = [w for w in fresh if w not in memo]
         for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for word, encoded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids = encoded.ids
-                memo[word] = struct.pack(f"<{len(ids)}i", *ids)
+            self.learn(fresh[at : at + 4096])
         for own, i, body, marks in waiting:
             own[i] = memo[body] + memo[marks] if marks else memo[body]
         end = struct.pack("<i", end_id)
-        return [np.frombuffer(b"".join([*own, end]), "<i4") for own in found]
+        for own in found:
+            own.append(end)
+        return list(map(b"".join, found))
 
 
 @functools.lru_cache(2)
@@ -114,17 +148,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start, shard = worker_encoder(tokenizer_path), 0, TaskContext.get().partitionId()
         for batch in slices(batches):
-            found = encoder.encode(batch.column(1).to_pylist(), end_id)
-            sizes = np.array([len(x) for x in found], np.int64)
+            found = encoder.packed(batch.column(1).cast(pa.binary()).to_pylist(), end_id)
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            ids = np.frombuffer(b"".join(found), "<i4")
             ends = start + np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(ends - sizes), pa.array(sizes), list_array(np.concatenate(found), sizes, pa.int32())],
+                [batch.column(0), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(ends - sizes), pa.array(sizes), list_array(ids, sizes, pa.int32())],
                 names=["doc_id", "shard", "start_in_shard", "n_tokens", "tokens"],
             )
             start = int(ends[-1])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ranged = rows.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # The ranges come from the keys alone: a range partitioner would sample whole rows, and read all texts twice.
+    parts = shuffle_width(docs.sparkSession)
+    shares = [i / parts for i in range(1, parts)]
+    found = rows.agg(F.percentile_approx("doc_id", shares, 20 * parts).alias("cuts")).first()["cuts"] if shares else None
+    cuts = sorted(set(found or ()))
+    at = F.coalesce(step_of(F.col("doc_id"), [cuts[0], *cuts]), F.lit(0)) if cuts else F.lit(0)
+    ranged = rows.repartitionById(parts, at).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ranged.mapInArrow(run, f"doc_id {kind}, shard int, start_in_shard bigint, n_tokens bigint, tokens array<int>").write.options(**(LAYOUT | (layout or {}))).parquet(path)
 
 
@@ -156,7 +197,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
             found = pa.array(np.diff(offsets).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), found, pa.array(crc, pa.int64())], names=["doc_id", "shard", "start_in_shard", "n_tokens", "ids_crc32"])
 
-    stored = spark.read.parquet(path)
+    stored = small_batches(spark.read.parquet(path))
     kind = stored.schema["doc_id"].dataType.simpleString()
     rows = stored.select("doc_id", "shard", "start_in_shard", "tokens").mapInArrow(run, f"doc_id {kind}, shard int, start_in_shard bigint, n_tokens bigint, ids_crc32 bigint")
     totals = stored.groupBy("shard").agg(F.sum("n_tokens").alias("in_shard"))
