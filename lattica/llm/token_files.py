@@ -24,7 +24,7 @@ from lattica.llm.common import list_array, new_path, shuffle_width, slices, smal
 from lattica.operators.grid import step_of
 
 #: Remembered words of a worker, before it starts anew.
-MEMO = 800_000
+MEMO = 1_000_000
 #: Marks that never belong to the same pre-token as a letter or digit before them.
 MARKS = b".,;:!?%&*#$"
 #: Stands between words that are encoded together.
@@ -97,9 +97,9 @@ class WordEncoder:
             if b"\xcc" not in data and b"\xcd" not in data:
                 data = data.lower()
             kinds = data.translate(KINDS)
-            if b".." in kinds or b"-." in kinds or b"x." in kinds:
+            if b".." in kinds or b"-." in kinds or (b"x." in kinds and not letters_alone(data)):
                 words = BORDER.sub(b" ", data).split()
-            else:  # every mark follows a letter, a digit or a space
+            else:  # every mark follows a letter, a digit or white space
                 for mark in MARK_LIST:
                     if mark in data:
                         data = data.replace(mark, b" " + mark)
@@ -130,6 +130,12 @@ class WordEncoder:
         return list(map(b"".join, found))
 
 
+def letters_alone(data: bytes) -> bool:
+    """Whether all characters beyond ASCII are letters, also in lower case."""
+    rest = data.translate(None, bytes(range(128))).decode()
+    return rest.isalpha() and "İ" not in rest
+
+
 @functools.lru_cache(2)
 def worker_encoder(path: str) -> WordEncoder:
     """One encoder for all tasks of a Python worker, so that later tasks find its memo filled."""
