@@ -25,7 +25,7 @@ from lattica.llm.common import held_out, new_path, shuffle_width, slices, small_
 from lattica.llm.words import A, lower_words, mix, word_hashes
 
 #: Documents of a batch, and the weight of word frequencies within a bigram's probability.
-BATCH, WEIGHT = 4096, 300.0
+BATCH, WEIGHT = 3072, 300.0
 #: Stand for the start and the end of a text.
 START, END = np.uint64(0x5BD1E995A3B1C7D1), np.uint64(0xC2B2AE3D27D4EB4F)
 
