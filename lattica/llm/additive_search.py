@@ -3,8 +3,8 @@
 A vector is coded as the sum of one full-dimensional codeword from each of several codebooks. Codebooks are
 fitted to residuals, one after another, on a bounded sample; every row is then encoded by a beam search and
 stored with the norm of its sum. A query makes one table of its products with all codewords; looked up by code,
-with the stored norm, it gives the distance to every sum. The best of each tile are ranked again by the true
-distance to the original vectors, so every score is exact.
+with the stored norm, it gives the distance to every sum. The best distinct vectors of each tile are ranked again by
+the true distance to the originals, so every score is exact; copies stand and fall together.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from lattica.llm.tiles import best_of, by_length, finite, search, stacked, vecto
 SAMPLE = 16_384
 #: Codebooks, codewords of each, sums that a beam keeps, rounds of k-means.
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 8
-#: Of each query and tile, the rows that are ranked again by true distance.
+#: Of each query and tile, the distinct vectors that are ranked again by true distance; more where they are level or k is.
 RERANK = 256
 STRIP = 64
 
@@ -116,12 +116,27 @@ def build_index(rows: DataFrame, model: Codebooks) -> DataFrame:
     return rows.select("vec_id", "v").mapInArrow(run, "vec_id bigint, v array<double>, code binary, norm float")
 
 
+def distinct(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows ordered by vector, then id; where each distinct vector starts among them; how many ids it has.
+
+    Of rows alike in both, one is left. Zeros of either sign are alike.
+    """
+    keys = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+    _, group = np.unique(keys, return_inverse=True)
+    order = np.lexsort((ids, group))
+    group, ids = group[order], ids[order]
+    new = np.append(True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]))
+    order, counts = order[new], np.bincount(group[new])
+    return order, np.cumsum(counts) - counts, counts
+
+
 def nearest(queries: DataFrame, index: DataFrame, model: Codebooks, k: int, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance in doubles): each query's k nearest found, itself left out.
 
     Ties go to the smaller vec_id. Rows alike in id and vector count once. Vectors are compared with those of their
     own length; those without codes are all compared exactly. Null ids and null or empty vectors take no part; an
-    empty table gives no rows. The share of rows that is ranked again doesn't fall as the index grows.
+    empty table gives no rows. The share of rows that is ranked again doesn't fall as the index grows. What is ranked
+    again are distinct vectors, at least k of them and all that are level with the last; each brings its k smallest ids.
     """
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
 
@@ -135,17 +150,33 @@ def nearest(queries: DataFrame, index: DataFrame, model: Codebooks, k: int, rera
                 continue
             at = of_length[n]
             others, ids = stacked(c_sizes, c_values, at, n), c_ids[at]
-            coded = np.frombuffer(b"".join(codes.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) if n == model.dim else None
+            order, starts, counts = distinct(others, ids)
+            first, most = order[starts], np.minimum(counts, k + 1)  # one of k + 1 may be the query's own
+            alone = np.full(len(ids), -1)
+            alone[first[counts == 1]] = np.flatnonzero(counts == 1)
+            coded = np.frombuffer(b"".join(codes.take(pa.array(at[first])).to_pylist()), np.uint8).reshape(len(first), -1) if n == model.dim else None
+            keep = max(rerank, k)
             for start in range(0, len(rows), STRIP):
                 strip = rows[start : start + STRIP]
                 own = stacked(q_sizes, q_values, strip, n)
-                rough = None if coded is None or len(ids) <= rerank + 1 else model.approximate(own, coded, norms[at])
+                rough = None if coded is None or len(first) <= keep + 1 else model.approximate(own, coded, norms[at[first]])
+                if rough is not None:
+                    rough[np.isnan(rough)] = np.inf
                 for i, row in enumerate(strip):
-                    kept = np.arange(len(ids)) if rough is None else np.argpartition(rough[i], rerank)[: rerank + 1]
-                    kept = kept[ids[kept] != q_ids[row]]
-                    far = np.sqrt(((others[kept] - own[i]) ** 2).sum(1))
-                    best = best_of(far, ids[kept], k)
-                    yield int(row), far[best], ids[kept[best]]
+                    if rough is None:
+                        kept = np.arange(len(first))
+                    else:
+                        # Vectors that only the query's own id has would take places and be left out below.
+                        mine = alone[ids == q_ids[row]]
+                        rough[i, mine[mine >= 0]] = np.inf
+                        kept = np.flatnonzero(rough[i] <= np.partition(rough[i], keep)[keep])
+                    far = np.sqrt(((others[first[kept]] - own[i]) ** 2).sum(1))
+                    times = most[kept]
+                    members = order[np.repeat(starts[kept] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+                    far, other = np.repeat(far, times), ids[members] != q_ids[row]
+                    far, members = far[other], members[other]
+                    best = best_of(far, ids[members], k)
+                    yield int(row), far[best], ids[members[best]]
 
     asked = queries.where(good).select("vec_id", "v", F.xxhash64("v").alias("qkey"))
     return search(asked, index.where(good), tile, "double", k).select("query_id", "rank", "vec_id", F.col("key").alias("score"))

@@ -91,6 +91,45 @@ def test_approximate_recall(spark):
     assert hits / (10 * 40) >= 0.95
 
 
+@pytest.mark.parametrize("k", [10, 300])
+def test_many_copies(spark, k):
+    """A third of 20,000 rows alike: ties go to the smaller id, for queries in the group and beside it."""
+    draw = np.random.default_rng(11)
+    v = (draw.normal(size=(6, 16))[draw.integers(0, 6, 20_000)] + draw.normal(size=(20_000, 16)) * 0.5).astype(np.float32).astype(float)
+    copies = draw.random(20_000) < 1 / 3
+    v[copies] = v[0]
+    v[50] = v[0] + 1e-3
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    model = fit_codebooks(df)
+    index = build_index(df, model).cache()
+    hits = asked = 0
+    for q, rows in nearest(df.where("vec_id % 500 = 0 or vec_id = 50"), index, model, k).toPandas().groupby("query_id"):
+        d = distances(v, q)
+        found, best = rows.sort_values("rank").vec_id.tolist(), np.argsort(d, kind="stable")[:k].tolist()
+        assert len(found) == k
+        np.testing.assert_array_equal(rows.sort_values("rank").score, d[found])
+        if copies[q]:
+            assert found == best
+        if q == 50:
+            assert d[found].tolist() == d[best].tolist() and [i for i in found if copies[i]] == [i for i in best if copies[i]]
+        hits, asked = hits + len(set(found) & set(best)), asked + k
+    assert asked == 41 * k and hits >= 0.95 * asked
+
+
+def test_many_rows_of_the_query(spark):
+    """Rows that share the query's id don't take the places of others."""
+    draw = np.random.default_rng(12)
+    v = draw.normal(size=(2000, 4))
+    ids = [0] * 400 + list(range(1, 1601))
+    v[:400] /= 1000
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, v array<double>")
+    model = fit_codebooks(df)
+    asked = df.where("vec_id = 0").limit(1)
+    found = nearest(asked, build_index(df, model), model, 10, rerank=100).orderBy("rank").collect()
+    d = np.sqrt(((v[400:] - np.array(asked.collect()[0]["v"])) ** 2).sum(1))
+    assert [r["vec_id"] for r in found] == (np.argsort(d, kind="stable")[:10] + 1).tolist()
+
+
 def test_codes_add_up():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(3000, 8))
