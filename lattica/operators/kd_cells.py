@@ -8,30 +8,34 @@ from pyspark.sql import functions as F
 
 from lattica.functions.geometry import bounds, vector
 from lattica.operators.points import Points
+from lattica.operators.ranking import global_rank
 from lattica.sources.shared import stash
 
-#: Rows of a node up to which its median is found exactly, in one task.
+#: Rows of a node up to which one task ranks it; larger ones are ranked over range partitions, with the same ranks.
 EXACT = 1_000_000
 
 
 def split_level(df: DataFrame, x: str, key: tuple[str, ...], leaf: int, exact: int = EXACT) -> DataFrame:
-    """Halves every node of more than leaf points by the median of x: the left half keeps 2 * node, the right gets 2 * node + 1.
+    """Halves every node of more than leaf points by rank in x, ties by the key: the left half keeps 2 * node, the right gets 2 * node + 1.
 
-    Nodes of up to `exact` rows are halved by rank, ties by the key. In larger ones an approximate median, a
-    mergeable summary, does: any split gives right answers.
+    The left half is the larger by one where the number is odd, whatever the size of the node.
     """
-    sizes = df.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > exact).limit(1).count() > 0
-    if large:
-        sizes = df.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(x, 0.5, 100_000).alias("_median"))
-    else:
-        sizes = sizes.withColumn("_median", F.lit(None).cast("double"))
-    # Nodes number N / leaf; each carries three numbers.
+    sizes = stash(df.groupBy("node").agg(F.count(F.lit(1)).alias("_n")), "kd-sizes")
+    large = F.col("_n") > max(exact, leaf)
+    any_large = sizes.where(large).limit(1).count() > 0
+    # Nodes number N / leaf; each carries two numbers.
     df = df.join(sizes, "node")
-    by_rank = F.ntile(2).over(W.partitionBy("node", F.when(F.col("_n") > exact, F.pmod(F.xxhash64(*key), F.lit(4096)))).orderBy(x, *key)) - 1
-    right = F.when(F.col("_n") > exact, (F.col(x) > F.col("_median")).cast("int")).otherwise(by_rank)
+    rest = df.where(~large) if any_large else df
+    halved = rest.withColumn("_right", F.ntile(2).over(W.partitionBy("node").orderBy(x, *key)) - 1)
+    if any_large:
+        ranked = global_rank(df.where(large), ("node", x, *key), "_rank")
+        # A node's ranks follow those of the large nodes before it.
+        big = sizes.where(large)
+        first = big.select("node", (F.sum("_n").over(W.orderBy("node")) - F.col("_n")).alias("_first"))
+        right = (F.col("_rank") - F.col("_first") >= F.ceil(F.col("_n") / 2)).cast("int")
+        halved = halved.unionByName(ranked.join(first, "node").withColumn("_right", right).drop("_rank", "_first"))
     split = F.col("_n") > leaf
-    return df.withColumn("node", F.when(split, 2 * F.col("node") + right).otherwise(F.col("node"))).drop("_n", "_median")
+    return halved.withColumn("node", F.when(split, 2 * F.col("node") + F.col("_right")).otherwise(F.col("node"))).drop("_n", "_right")
 
 
 def kd_nodes(points: Points, leaf: int, levels: int = 40) -> DataFrame:

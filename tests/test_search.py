@@ -1,12 +1,13 @@
 """Indexed answers equal full scans."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators.box_tree import BoxTree, parent_chains, rebalance, split_until, two_means
 from lattica.operators.grid import Grid
-from lattica.operators.kd_cells import kd_cells, kd_nodes, order_violations
+from lattica.operators.kd_cells import kd_cells, kd_nodes, order_violations, split_level
 from lattica.operators.layout import LearnedIndex
 from lattica.operators.points import Points
 from lattica.plans import search
@@ -163,3 +164,25 @@ def test_store(spark, tmp_path, asked):
     assert search.in_rectangle(box, (2, 2), (6, 6)).count() == search.in_rectangle(points.df, (2, 2), (6, 6)).count()
     save_tree(BoxTree.build(points, 20), f"{tmp_path}/tree")
     assert answers(load_tree(spark, f"{tmp_path}/tree").nearest(asked, 5)) == expected
+
+
+@pytest.mark.parametrize("exact", [1, 40, 1000])
+def test_kd_halves_are_exact_at_every_size(spark, exact):
+    """Many ties in x0, few in x1: the rows of a node are halved as the SQL halves them, however they are ranked."""
+    rows = [(i * 7919 % 301, float(i % 5), float(i * i % 83)) for i in range(301)]
+    df = spark.createDataFrame(rows, "pid long, x0 double, x1 double").withColumn("node", F.lit(1).cast("long"))
+    expected = "SELECT pid, x0, x1, 1 AS node FROM t"
+    for level in range(4):
+        df = split_level(df, f"x{level % 2}", ("pid",), 25, exact)
+        expected = f"SELECT pid, x0, x1, CASE WHEN n > 25 THEN 2 * node + r ELSE node END AS node FROM (SELECT *, count(*) OVER (PARTITION BY node) AS n, ntile(2) OVER (PARTITION BY node ORDER BY x{level % 2}, pid) - 1 AS r FROM ({expected}))"
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (pid BIGINT, x0 DOUBLE, x1 DOUBLE)")
+    db.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    assert sorted(map(tuple, df.select("pid", "node").collect())) == sorted(db.sql(f"SELECT pid, node FROM ({expected})").fetchall())
+
+
+def test_kd_points_all_alike_are_halved(spark, monkeypatch):
+    monkeypatch.setattr(split_level, "__defaults__", (20,))
+    points = Points(spark.range(101).selectExpr("id AS pid", "1D AS x0", "1D AS x1"), ("pid",), 2)
+    sizes = [r["count"] for r in kd_nodes(points, 10).groupBy("node").count().collect()]
+    assert sum(sizes) == 101 and max(sizes) <= 10
