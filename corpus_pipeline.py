@@ -56,11 +56,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the ids of its text and their number, for each row."""
+    """doc_id, the ids of its text, their number and the digest of the text decoded from them, for each row."""
     import public_tokenizers
 
     ship(spark)
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("ids", "n_tokens"))
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("ids", "n_tokens", "decoded_sha256"))
 
 
 STAGES = [

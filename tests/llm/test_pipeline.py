@@ -1,5 +1,7 @@
 """The pipeline by its stages, each on its own input."""
 
+import hashlib
+
 import public_tokenizers
 import pytest
 import tiktoken
@@ -76,6 +78,13 @@ def test_token_ids(stages):
     assert all(r["n_tokens"] == len(r["ids"]) for r in after.collect())
 
 
+def test_decoded(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50).unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"), allowMissingColumns=True)
+    docs = stash(docs, "docs")
+    expected = sorted((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect())
+    assert sorted((r["doc_id"], r["decoded_sha256"]) for r in C.token_ids(spark, docs, sf_dir).collect()) == expected
+
+
 def test_run(spark, sf_dir, stages):
     key = lambda df: sorted((r["doc_id"], r["n_tokens"]) for r in df.collect())
     assert key(C.run(spark, sf_dir)) == key(stages[3][1])
