@@ -237,9 +237,33 @@ def train(texts: list[bytes], labels: np.ndarray, base: float, rounds: int = 150
     return field
 
 
+def within(picked: list[list], chars: int) -> list:
+    """Rows of each list, in its order, that fit its equal share of the characters; then skipped ones that fit what is left of all.
+
+    A row that doesn't fit is skipped, not the rows after it. Skipped ones get their turn by place, over all lists.
+    """
+    chosen, skipped, spare = [], [], chars
+    for part in picked:
+        left = chars // len(picked)
+        for place, row in enumerate(part):
+            if row["chars"] <= left:
+                left -= row["chars"]
+                spare -= row["chars"]
+                chosen.append(row)
+            else:
+                skipped.append((place, row))
+    for _, row in sorted(skipped, key=lambda x: x[0]):
+        if row["chars"] <= spare:
+            spare -= row["chars"]
+            chosen.append(row)
+    return chosen
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> QualityField:
     """Trains on at most `sample` documents of each label, those of the smallest hashed ids, and at most `chars` characters.
 
+    The characters are shared as in within(): half for each label, in the order of hashed ids, long or short; what
+    one label leaves goes to the other.
     labels: doc_id, quality (0 or 1; other values and nulls are left out; a document with both labels counts as 0).
     Only sizes and ids are sorted; whole texts of the chosen documents alone reach the driver.
     """
@@ -250,13 +274,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     n = sum(counts.values())
     if not n:
         return QualityField(0.5)
-    chosen, left = [], chars
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect() for q in (0, 1)]
-    for row in sorted((r for part in picked for r in part), key=lambda r: r["chars"]):
-        left -= row["chars"]
-        if left < 0:
-            break
-        chosen.append((row["doc_id"], row["quality"]))
+    chosen = [(r["doc_id"], r["quality"]) for r in within(picked, chars)]
     spark = docs.sparkSession
     # At most twice the sample: small enough to broadcast.
     ids = F.broadcast(spark.createDataFrame(chosen, "doc_id bigint, quality int")) if chosen else None

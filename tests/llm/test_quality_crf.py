@@ -100,6 +100,27 @@ def test_sample_is_bounded(tables):
     assert score(docs, field).count() == docs.count()
 
 
+def test_long_documents_and_their_label_are_not_left_out(spark):
+    """Good ones are long, bad ones short and more than the bound holds: both are learned from."""
+    rows = [(i, " ".join([good(i)] * 40) if i % 4 == 0 else bad(i)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int")
+    short = sum(len(t) for i, t in rows if i % 4)
+    assert max(len(t) for i, t in rows if i % 4) < min(len(t) for i, t in rows if i % 4 == 0) < short // 4
+    assert learn(docs, labels, chars=short // 2).weights is not None
+
+
+def test_share_of_characters():
+    from lattica.llm.quality_crf import within
+
+    row = lambda *sizes: [{"chars": n, "at": (len(sizes), i)} for i, n in enumerate(sizes)]
+    sizes = lambda *lists, chars: [r["chars"] for r in within([row(*x) for x in lists], chars)]
+    assert sizes([40, 1, 60, 5], [30], chars=100) == [40, 1, 5, 30]
+    assert sizes([70, 5], [10], chars=100) == [5, 10, 70]
+    assert sizes([9, 9], [1, 1], chars=1) == [1]
+    assert sizes([], [80, 30], chars=100) == [30]
+
+
 def test_query(spark):
     """At a larger size, so that there are enough held-out labels."""
     import os
