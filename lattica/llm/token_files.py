@@ -54,8 +54,8 @@ class WordEncoder:
     The tokenizer drops white space before it merges, so a text's ids are those of the runs between ASCII
     white space, one after another. It also ignores the case of ASCII letters (where no combining mark follows
     that could compose with one case only), and parts a letter or digit from marks behind it. Words are therefore
-    looked up in lower case, and those not yet known without the marks at their end. Strings of special tokens
-    count as ordinary text.
+    looked up in lower case, and those not yet known without the marks at their end. Special tokens are found in
+    the text as it is written, as the library does; what stands between them is encoded apart.
     """
 
     def __init__(self, path: str):
@@ -65,6 +65,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(x.normalized or x.lstrip or x.rstrip or x.single_word for x in added.values()):
+            raise ValueError("special tokens that take more than their own letters are not supported")
+        self.special = {x.content.encode(): struct.pack("<i", i) for i, x in added.items()}
+        self.cut = re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + b")")
+        # Words are looked up in lower case, where other strings could turn into special ones.
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
         ids = self.tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids
@@ -84,16 +90,23 @@ class WordEncoder:
         for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
             self.memo[word] = struct.pack(f"<{len(found.ids)}i", *found.ids)
 
+    def around_special(self, data: bytes) -> list[bytes]:
+        """The ids of a text that has special tokens: of these, and of what stands between them."""
+        return [self.special[x] if x in self.special else self.packed([x], None)[0] for x in self.cut.split(data) if x]
+
     def encode(self, texts: list[str | bytes | None], end_id: int) -> list[np.ndarray]:
         return [np.frombuffer(x, "<i4") for x in self.packed(texts, end_id)]
 
-    def packed(self, texts: list[str | bytes | None], end_id: int) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers. Texts may be given in UTF-8."""
+    def packed(self, texts: list[str | bytes | None], end_id: int | None) -> list[bytes]:
+        """Each text's ids and the end's, if any, as little-endian 32-bit integers. Texts may be given in UTF-8."""
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo, found, waiting, fresh = self.memo, [], [], set()
         for text in texts:
             data = text if isinstance(text, bytes) else (text or "").encode()
+            if any(x in data for x in self.special):
+                found.append(self.around_special(data))
+                continue
             if b"\xcc" not in data and b"\xcd" not in data:
                 data = data.lower()
             kinds = data.translate(KINDS)
@@ -124,7 +137,7 @@ class WordEncoder:
             self.learn(fresh[at : at + 4096])
         for own, i, body, marks in waiting:
             own[i] = memo[body] + memo[marks] if marks else memo[body]
-        end = struct.pack("<i", end_id)
+        end = b"" if end_id is None else struct.pack("<i", end_id)
         for own in found:
             own.append(end)
         return list(map(b"".join, found))

@@ -12,10 +12,9 @@ from lattica.llm.token_files import WordEncoder, checksums, op3_token_files, rea
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 ENCODER = WordEncoder(PATH)
 
-pieces = st.sampled_from(["the", " ", "\n", "'s", "'", "É", "é", "é", "ẖ", "H̱", "İ", "漢", "１", "7", ".", ",", "!!", "%%%", "Th", "\x01", "́", "ß", "ſ", "<|endoftext|>", "‍"])
+pieces = st.sampled_from(["the", " ", "\n", "'s", "'", "É", "é", "é", "ẖ", "H̱", "İ", "漢", "１", "7", ".", ",", "!!", "%%%", "Th", "\x01", "́", "ß", "ſ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "‍"])
 
 
 def expected(text):
@@ -28,6 +27,12 @@ def test_same_ids_as_the_library(texts):
     assert [x.tolist() for x in ENCODER.encode(texts, 2)] == [expected(t) for t in texts]
 
 
+def test_special_tokens():
+    texts = ["a <|endoftext|> b", "A<|startoftext|>B<|endoftext|><|endoftext|>", "<|EndOfText|>", "<|endoftext|>\u0338x", "x" * 50 + "<|endoftext|"]
+    assert [x.tolist() for x in ENCODER.encode(texts, 2)] == [expected(t) for t in texts]
+    assert expected(texts[0]) == [320, 49407, 321, 2]
+
+
 @pytest.fixture(scope="module")
 def written(spark, tmp_path_factory):
     rows = [(i, f"Text number {i}. Some words, more words! " * (i % 7), 0) for i in range(500)]
