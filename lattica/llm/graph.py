@@ -7,13 +7,32 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import stash
 
+#: Keys that hold more than this share of all rows are heavy: so there are never more of them than its inverse.
+SHARE, FEW = 500, 100
+
+
+def join_least(rows: DataFrame, least: DataFrame, key: str, limit: int) -> DataFrame:
+    """rows joined with least (key, m, and n, at least the number of the key's rows).
+
+    Rows of keys with more than limit rows stay where they are: what those keys have in least, a few rows, is sent
+    to them. All others meet by a shuffle.
+    """
+    heavy = least.where(F.col("n") > limit).select(key, "m").collect()
+    light = least.where(F.col("n") <= limit).select(key, "m")
+    if not heavy:
+        return rows.join(light, key)
+    sent = F.broadcast(rows.sparkSession.createDataFrame(heavy, light.schema))
+    return rows.join(sent, key).unionByName(rows.join(sent.select(key), key, "left_anti").join(light, key))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest id that it reaches) for every node with an edge to another.
 
     edges: a, b (bigint). Each round hangs neighbours on the smallest one known, first the larger neighbours of
     a node, then the smaller; the edges end as stars. Rounds grow with the logarithm of the longest path. Only
-    a count and a checksum reach the driver; each round is a written table, so lost executors cost one round.
+    a count, a checksum and at most SHARE heavy nodes reach the driver; each round is a written table, so lost
+    executors cost one round. Edges may repeat; edges of a node with itself, or with a null, are left out, and an
+    empty table gives no rows. Other columns are ignored.
     """
     apart = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now, seen = stash(apart.distinct(), "edges"), None
@@ -21,10 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen or not mark["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = mark
+        seen, limit = mark, max(FEW, 2 * mark["n"] // SHARE)
         both = now.union(now.select("v", "u")).toDF("x", "y")
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stash(small.union(low.toDF("u", "v")).distinct(), "edges")
+        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+        large = join_least(both.where("y > x"), least, "x", limit).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_least(large, low, "u", limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stash(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")

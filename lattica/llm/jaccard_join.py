@@ -8,15 +8,17 @@
    over all documents that has a fixed size: passages that many documents share don't bring those together.
    D depends on the size, so sizes fall into bands, and a document announces to its own band and the next.
    Documents that share an announcement fall into one candidate group.
-2. Join. Each group's distinct sets go to one task (a large group is cut into blocks by size and hash, and each
-   pair of blocks that may link goes to a task). There they become leaves of a signature tree, whose nodes hold
-   the OR of their documents' token bitmaps and their range of sizes. A dual traversal drops pairs of nodes whose
-   largest possible overlap is too small, and exact overlaps settle the pairs of leaves that remain.
+2. Join. Groups are dealt to shards of some million shingles, distinct sets only (a group larger than a shard is cut
+   into blocks by size and hash, and each pair of blocks that may link is a task). A shard's sets become the leaves
+   of one signature tree, whose nodes hold the OR of their documents' token bitmaps and their range of sizes. Its
+   dual traversal alone finds the pairs of leaves that can link, whatever their groups: it drops pairs of nodes
+   whose sizes or largest possible overlap don't reach the threshold. Exact overlaps settle the pairs that remain.
 3. Links of sets become components. Copies of a set never travel: a class has one representative.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +29,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.llm.common import shuffle_width, slices, small_batches, stash, table
-from lattica.llm.graph import components
+from lattica.llm.graph import FEW, SHARE, components
 from lattica.llm.words import mix, shingle_set
 
 #: Documents whose announcements are combined before they are shuffled.
 CHUNK = 4096
 #: Cells of the table of counts (a power of two), pieces that it is summed up in, and segments beyond D + 1, as a share of them.
 CELLS, PIECES, SPARE = 1 << 20, 64, 0.6
-#: Shingles of a block; larger groups are cut.
-BLOCK = 2_000_000
+#: Shingles of a shard or block; larger groups are cut.
+BLOCK = 1_000_000
 #: Documents and shingles of a leaf, children of a node.
 LEAF, LEAF_SHINGLES, FAN_OUT = 16, 32_768, 4
+#: Bits of a bitmap at most, bytes of a level's bitmaps, and of those that are compared at a time.
+MOST_BITS, LEVEL_BYTES, STEP_BYTES = 1 << 22, 32 << 20, 16 << 20
 #: Rows that may be broadcast to find the texts of candidate groups; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -129,15 +133,20 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def announce(docs: DataFrame, n: int, percent: int, parts: int, counts: Broadcast) -> DataFrame:
-    """Packed rows: part and arrays of announcements and their documents, or (part null) one document's doc_id, size and set hash."""
+    """Packed rows: part and arrays of announcements and their sets, or (part null) one document's doc_id, size and set hash.
+
+    A set is named by the first half of its hash, so copies announce as one.
+    """
     fields = pa.schema([("part", pa.int32()), ("seals", pa.binary()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("size", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
-    def combined(seals: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
-        """One row for each part. An announcement is sent once, with its smallest document; the others announce a private pair with that one."""
+    def combined(seals: list[np.ndarray], ids: list[int]) -> pa.RecordBatch | None:
+        """One row for each part. An announcement is sent once, with its smallest set; the others announce a private pair with that one."""
         sizes = [len(x) for x in seals]
         seal, doc = np.concatenate(seals), np.repeat(np.array(ids, np.int64), sizes)
         order = np.lexsort((doc, seal))
         seal, doc = seal[order], doc[order]
+        if not len(seal):
+            return None
         first = np.append(True, seal[1:] != seal[:-1])
         least = doc[first][np.cumsum(first) - 1]
         pairs = np.unique(np.stack([least, doc], 1)[doc != least], axis=0)
@@ -165,22 +174,23 @@ def announce(docs: DataFrame, n: int, percent: int, parts: int, counts: Broadcas
                 h1, h2 = set_hash(shingles)
                 rows.append((doc, len(shingles), h1, h2))
                 if doc is not None and len(shingles):
-                    seals.append(np.append(announcements(shingles, bands, cuts, counts.value), np.array([h1 ^ h2], np.int64).view(np.uint64)))
-                    ids.append(doc)
+                    seals.append(announcements(shingles, bands, cuts, counts.value))
+                    ids.append(h1)
                     held += len(seals[-1])
             none = pa.nulls(len(rows), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), none, none, *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))], schema=fields)
             if len(ids) >= CHUNK or held >= CHUNK * 256:
-                yield combined(seals, ids)
+                if (found := combined(seals, ids)) is not None:
+                    yield found
                 seals, ids, held = [], [], 0
-        if ids:
-            yield combined(seals, ids)
+        if ids and (found := combined(seals, ids)) is not None:
+            yield found
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "part int, seals binary, ids binary, doc_id bigint, size bigint, h1 bigint, h2 bigint")
 
 
 def meetings(announced: DataFrame, parts: int) -> DataFrame:
-    """a, b: each document that shares an announcement, with the smallest that shares it; each pair once.
+    """a, b: each set that shares an announcement, with the smallest that shares it; each pair once.
 
     A pair that shares many announcements is found in many tasks. They send their pairs packed, by document, so that
     one more task each can drop the repetitions.
@@ -221,59 +231,81 @@ def meetings(announced: DataFrame, parts: int) -> DataFrame:
 
 
 class SignatureTree:
-    """Levels of nodes over sets, leaves first: OR of bitmaps, smallest and largest size, and most shingles lost to shared bits."""
+    """Levels of nodes over sets, leaves first: OR of bitmaps, smallest and largest size, and most shingles lost to shared bits.
+
+    near orders the sets, those that may link next to each other: leaves are runs of it. The bitmaps of a level are
+    as wide as unions of its nodes need, so that nodes of unrelated sets share fewer bits than a link would; both
+    trees of a join have the same widths.
+    """
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
+    def __init__(self, sets: list[np.ndarray], near: np.ndarray):
         self.sets = sets
         sizes = np.array([len(x) for x in sets], np.int64)
         self.sizes = sizes
         self.leaves: list[np.ndarray] = []
-        order = np.lexsort((sizes, [x[0] for x in sets]))  # by the smallest hash: alike sets stand together
         held, total = [], 0
-        for i in order:
+        for i in near.tolist():
             if held and (len(held) == LEAF or total + sizes[i] > LEAF_SHINGLES):
                 self.leaves.append(np.array(held))
                 held, total = [], 0
             held.append(i)
             total += sizes[i]
         self.leaves.append(np.array(held))
-        maps = np.zeros((len(self.leaves), bits // 8), np.uint8)
-        lost = np.zeros(len(self.leaves), np.int64)
-        for node, own in enumerate(self.leaves):
-            dense = np.zeros(bits, bool)
-            for i in own:
-                at = np.unique(sets[i] & np.uint64(bits - 1))
-                lost[node] = max(lost[node], sizes[i] - len(at))
-                dense[at] = True
-            maps[node] = np.packbits(dense)
-        low, high = (np.array([f(sizes[own]) for own in self.leaves]) for f in (np.min, np.max))
-        self.levels = [(maps.view(np.uint64), low, high, lost)]
-        while len(self.levels[-1][1]) > 1:
-            maps, low, high, lost = self.levels[-1]
-            starts = np.arange(0, len(low), FAN_OUT)
-            self.levels.append((np.bitwise_or.reduceat(maps, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(lost, starts)))
-
-
-def node_pairs(left: SignatureTree, right: SignatureTree, bands: Bands, alike: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of leaves that the dual traversal can't drop. alike: one tree against itself, each pair once."""
-    # The lower tree waits at its root until the other has come down to its height.
+        self.members = [self.leaves]
+        while len(self.members[-1]) > 1:
+            below = self.members[-1]
+            self.members.append([np.concatenate(below[i : i + FAN_OUT]) for i in range(0, len(below), FAN_OUT)])
+        self.levels: list[tuple] = []
+
+    def widths(self, percent: int) -> list[int]:
+        """Bits that each level needs: unions of u shingles share about u * u / bits of them by chance."""
+        needed = max(1, int(np.median(self.sizes)) * 2 * percent // (100 + percent))
+        found = []
+        for nodes in self.members:
+            most = max(len(np.unique(np.concatenate([self.sets[i] for i in own]))) for own in nodes)
+            bits = 1 << (max(8 * most, 3 * most * most // needed, 1024) - 1).bit_length()
+            room = 1 << (8 * LEVEL_BYTES // len(nodes)).bit_length() - 1
+            found.append(max(1024, min(bits, room, MOST_BITS)))
+        return found
+
+    def fill(self, widths: list[int]) -> None:
+        """Makes the bitmaps."""
+        for nodes, bits in zip(self.members, widths, strict=False):
+            maps = np.zeros((len(nodes), bits // 8), np.uint8)
+            lost = np.zeros(len(nodes), np.int64)
+            for node, own in enumerate(nodes):
+                dense = np.zeros(bits, bool)
+                for i in own:
+                    at = np.unique(self.sets[i] & np.uint64(bits - 1))
+                    lost[node] = max(lost[node], self.sizes[i] - len(at))
+                    dense[at] = True
+                maps[node] = np.packbits(dense)
+            low, high = (np.array([f(self.sizes[own]) for own in nodes]) for f in (np.min, np.max))
+            self.levels.append((maps.view(np.uint64), low, high, lost))
+
+
+def node_pairs(left: SignatureTree, right: SignatureTree, bands: Bands, alike: bool) -> np.ndarray:
+    """Pairs of leaves that the dual traversal can't drop, a row each. alike: one tree against itself, each pair once."""
+    # The lower tree waits at its root until the other has come down to its height: widths agree on common levels alone.
     up, down = len(left.levels) - 1, len(right.levels) - 1
     pairs = np.zeros((1, 2), np.int64)
     while True:
         (bits_a, low_a, high_a, lost_a), (bits_b, low_b, high_b, lost_b) = left.levels[up], right.levels[down]
-        kept = []
-        for i in range(0, len(pairs), 1024):
-            a, b = pairs[i : i + 1024].T
-            fits = bands.t * np.maximum(low_a[a], low_b[b]) <= 100 * np.minimum(high_a[a], high_b[b])
+        a, b = pairs.T
+        fits = bands.t * np.maximum(low_a[a], low_b[b]) <= 100 * np.minimum(high_a[a], high_b[b])
+        a, b = a[fits], b[fits]
+        if up == down:
+            kept, step = [], max(1, STEP_BYTES // (8 * bits_a.shape[1]))
+            for i in range(0, len(a), step):
+                c, d = a[i : i + step], b[i : i + step]
+                shared = np.bitwise_count(bits_a[c] & bits_b[d]).sum(1, dtype=np.int64) + np.minimum(lost_a[c], lost_b[d])
+                most = np.minimum(shared, np.minimum(high_a[c], high_b[d]))
+                kept.append((100 + bands.t) * most >= bands.t * (low_a[c] + low_b[d]))
+            fits = np.concatenate(kept) if kept else np.zeros(0, bool)
             a, b = a[fits], b[fits]
-            shared = np.bitwise_count(bits_a[a] & bits_b[b]).sum(1, dtype=np.int64) + np.minimum(lost_a[a], lost_b[b])
-            most = np.minimum(shared, np.minimum(high_a[a], high_b[b]))
-            fits = (100 + bands.t) * most >= bands.t * (low_a[a] + low_b[b])
-            kept.append(np.stack([a[fits], b[fits]], 1))
-        pairs = np.concatenate(kept)
+        pairs = np.stack([a, b], 1)
         if up == down == 0:
-            yield from map(tuple, pairs.tolist())
-            return
+            return pairs
         step_a, step_b = up >= down, down >= up
         below = []
         for i in range(0, len(pairs), 65536):
@@ -285,7 +317,7 @@ def node_pairs(left: SignatureTree, right: SignatureTree, bands: Bands, alike: b
                     if alike:
                         real &= c <= d
                     below.append(np.stack([c[real], d[real]], 1))
-        pairs = np.concatenate(below)
+        pairs = np.concatenate(below) if below else np.zeros((0, 2), np.int64)
         up, down = up - step_a, down - step_b
 
 
@@ -298,13 +330,37 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return np.rint(table[: len(a)] @ table[len(a) :].T).astype(np.int64)
 
 
-def tree_join(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of linked sets, batch by batch; within sets_a, each pair once, if sets_b is None."""
-    most = max(len(x) for x in (*sets_a, *(sets_b or ())))
-    bits = 1 << min(17, max(10, (4 * most - 1).bit_length()))
-    left = SignatureTree(sets_a, bits)
-    right = left if sets_b is None else SignatureTree(sets_b, bits)
-    for i, j in node_pairs(left, right, bands, sets_b is None):
+def in_order(sets: list[np.ndarray], groups: list[int] | None = None) -> np.ndarray:
+    """Sets of one group next to each other, groups by their smallest set, sets by their smallest hash."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    first = np.array([x[0] for x in sets], np.uint64)
+    if groups is None:
+        return np.lexsort((first, sizes))
+    _, at = np.unique(np.array(groups, np.int64), return_inverse=True)
+    least = np.full(at.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, at, sizes)
+    return np.lexsort((first, at, least[at]))
+
+
+def tree_join(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, bands: Bands, groups: list[int] | None = None, tally: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of linked sets, batch by batch; within sets_a, each pair once, if sets_b is None.
+
+    groups say which of sets_a may stand together in a leaf; they drop nothing. tally counts pairs of leaves, and
+    those of them that the trees leave.
+    """
+    left = SignatureTree(sets_a, in_order(sets_a, groups))
+    right = left if sets_b is None else SignatureTree(sets_b, in_order(sets_b))
+    widths = left.widths(bands.t)
+    if sets_b is not None:
+        widths = [max(x) for x in itertools.zip_longest(widths, right.widths(bands.t), fillvalue=0)]
+        right.fill(widths)
+    left.fill(widths)
+    kept = node_pairs(left, right, bands, sets_b is None)
+    if tally is not None:
+        n, m = len(left.leaves), len(right.leaves)
+        tally["pairs"] = tally.get("pairs", 0) + (n * (n + 1) // 2 if sets_b is None else n * m)
+        tally["kept"] = tally.get("kept", 0) + len(kept)
+    for i, j in kept.tolist():
         a, b = left.leaves[i], right.leaves[j]
         shared = overlaps([left.sets[x] for x in a], [right.sets[x] for x in b])
         linked = bands.links(shared, left.sizes[a][:, None], right.sizes[b][None, :])
@@ -333,73 +389,78 @@ class Forest:
 
 
 def join_groups(rows: DataFrame, n: int, percent: int, width: int, all_pairs: bool = False) -> DataFrame:
-    """a, b, links: links between representatives that hold a task's links together (b set), and how many texts a links with (b null).
+    """a, b, links: links between sets that hold a task's links together (b set), and how many texts a links with (b null).
 
-    rows: task, side (0: the task's sets join each other; 1 and 2: those of one side join the other's), rep, copies,
-    text. With all_pairs, every link between representatives is a row.
+    rows: task, side (0: the task's sets join each other; 1 and 2: those of one side join the other's), near, h1, h2,
+    copies, text. A set is named by h1; rows whose text has another set are left out. With all_pairs, every link
+    between sets is a row.
     """
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
-    def one_task(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def one_task(found: dict[tuple, tuple]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        crossed = found[0][0] > 0
-        sides = [[x for x in found if x[0] == side] for side in ((1, 2) if crossed else (0,))]
+        crossed = next(iter(found))[0] > 0
+        sides = [[(*key[1:2], *x) for key, x in found.items() if key[0] == side] for side in ((1, 2) if crossed else (0,))]
         if len(found) < 2 or not all(sides):
             return
-        sets = [[shingle_set(x[3], n) for x in own] for own in sides]
-        reps = np.array([x[1] for own in sides for x in own], np.int64)
+        names = np.array([x[0] for own in sides for x in own], np.int64)
         copies = np.array([x[2] for own in sides for x in own], np.int64)
-        links, forest, edges = np.zeros(len(reps), np.int64), Forest(len(reps)), []
-        for x, y in tree_join(sets[0], sets[1] if crossed else None, bands):
+        sets = [[x[3] for x in own] for own in sides]
+        links, forest, edges = np.zeros(len(names), np.int64), Forest(len(names)), []
+        for x, y in tree_join(sets[0], sets[1] if crossed else None, bands, None if crossed else [x[1] for x in sides[0]]):
             y = y + len(sides[0]) if crossed else y
             np.add.at(links, x, copies[y])
             np.add.at(links, y, copies[x])
             edges += [(i, j) for i, j in zip(x.tolist(), y.tolist(), strict=True) if all_pairs or forest.union(i, j)]
             if len(edges) > 65536:
                 i, j = np.array(edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(reps[i]), pa.array(reps[j]), pa.nulls(len(i), pa.int64())], schema=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j]), pa.nulls(len(i), pa.int64())], schema=fields)
                 edges = []
         if edges:
             i, j = np.array(edges).T
-            yield pa.RecordBatch.from_arrays([pa.array(reps[i]), pa.array(reps[j]), pa.nulls(len(i), pa.int64())], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j]), pa.nulls(len(i), pa.int64())], schema=fields)
         at = np.flatnonzero(links)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.nulls(len(at), pa.int64()), pa.array(links[at])], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.nulls(len(at), pa.int64()), pa.array(links[at])], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, found = None, []
+        task, found = None, {}
         for batch in slices(batches):
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, side, near, h1, h2, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != task and found:
                     yield from one_task(found)
-                    found = []
+                    found = {}
                 task = key
-                found.append(row)
+                if (side, h1, h2) not in found and set_hash(shingles := shingle_set(text, n)) == (h1, h2):
+                    found[side, h1, h2] = near, copies, shingles
         if found:
             yield from one_task(found)
 
-    dealt = rows.select("task", "side", "rep", "copies", "text").repartition(width, "task").sortWithinPartitions("task")
+    dealt = rows.select("task", "side", "near", "h1", "h2", "copies", "text").repartition(width, "task").sortWithinPartitions("task")
     return dealt.mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
-def deal_tasks(reps: DataFrame, percent: int, block: int) -> DataFrame:
-    """task, side, rep, copies for each representative (rep, copies, size, component): once in most cases, on side 0.
+def deal_tasks(sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """task, side, near and the set for each set (h1, h2, rep, copies, size, component): once in most cases, on side 0.
 
-    A group of more than block shingles is cut into blocks by band of size and hash; a task then is a pair of
-    blocks of the same or of neighbouring bands, and a block goes to each of its pairs.
+    Groups are dealt by hash to as many shards as their shingles fill; a shard is a task. A group of more than block
+    shingles is cut into blocks by band of size and hash; a task then is a pair of blocks of the same or of
+    neighbouring bands, and a block goes to each of its pairs.
     """
     starts = Bands(percent).starts.tolist()
-    banded = reps.withColumn("band", F.array_size(F.filter(F.array(*[F.lit(x) for x in starts]), lambda x: x <= F.col("size"))))
+    banded = sets.withColumn("band", F.array_size(F.filter(F.array(*[F.lit(x) for x in starts]), lambda x: x <= F.col("size"))))
     sums = banded.groupBy("component", "band").agg(F.sum("size").alias("in_band"), F.count(F.lit(1)).alias("n"))
     group = W.partitionBy("component")
     sums = sums.withColumn("total", F.sum("in_band").over(group)).withColumn("members", F.sum("n").over(group)).where("members > 1")
     cut = F.when(F.col("total") > block, F.ceil(F.col("in_band") / block).cast("int")).otherwise(0)
-    sums = sums.select("component", "band", cut.alias("blocks"))
+    sums = sums.select("component", "band", "in_band", cut.alias("blocks"))
     near = group.orderBy("band")
     for name, f, gap in (("before", F.lag, -1), ("after", F.lead, 1)):
         sums = sums.withColumn(name, F.when(f("band").over(near) == F.col("band") + gap, f("blocks").over(near)).otherwise(0))
+    sums = stash(sums, "groups")
+    whole = sums.where("blocks = 0").agg(F.sum("in_band")).first()[0] or 0
     rows = banded.join(sums, ["component", "band"])
-    own = F.pmod(F.xxhash64("rep"), F.greatest("blocks", F.lit(1))).cast("int")
+    own = F.pmod(F.xxhash64("h1", "h2"), F.greatest("blocks", F.lit(1))).cast("int")
 
     def task(band, i, next_band, j):
         return F.concat_ws("/", F.col("component").cast("string"), *(x.cast("string") for x in (band, i, next_band, j)))
@@ -412,13 +473,23 @@ def deal_tasks(reps: DataFrame, percent: int, block: int) -> DataFrame:
     same = each(F.col("blocks"), lambda j: F.struct(task(band, F.least(own, j), band, F.greatest(own, j)).alias("task"), F.when(own == j, 0).when(own < j, 1).otherwise(2).alias("side")))
     up = each(F.col("after"), lambda j: F.struct(task(band, own, band + 1, j).alias("task"), F.lit(1).alias("side")))
     down = each(F.col("before"), lambda j: F.struct(task(band - 1, j, band, own).alias("task"), F.lit(2).alias("side")))
-    whole = F.array(F.struct(F.col("component").cast("string").alias("task"), F.lit(0).alias("side")))
-    tasks = F.when(F.col("blocks") == 0, whole).otherwise(F.concat(same, up, down))
-    return rows.select("rep", "copies", F.explode(tasks).alias("to")).select("to.task", "to.side", "rep", "copies")
+    shard = F.pmod(F.xxhash64("component"), F.lit(whole // block + 1)).cast("string")
+    tasks = F.when(F.col("blocks") == 0, F.array(F.struct(shard.alias("task"), F.lit(0).alias("side")))).otherwise(F.concat(same, up, down))
+    return rows.select("h1", "h2", "rep", "copies", F.col("component").alias("near"), F.explode(tasks).alias("to")).select("to.task", "to.side", "near", "h1", "h2", "rep", "copies")
+
+
+def task_rows(docs: DataFrame, classes: DataFrame, announced: DataFrame, percent: int, block: int) -> DataFrame:
+    """The rows of join_groups: sets that share announcements, each with the text of its representative."""
+    groups = components(meetings(announced, shuffle_width(docs.sparkSession)))
+    sets = classes.join(groups, F.col("h1") == F.col("node")).select("h1", "h2", "rep", "copies", "size", "component")
+    dealt = stash(deal_tasks(sets, percent, block), "tasks")
+    wanted = dealt if dealt.count() > BROADCAST_ROWS else F.broadcast(dealt)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    return texts.join(wanted, F.col("id") == F.col("rep")).drop("id", "rep")
 
 
 def similarity_join(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK, all_pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: documents (doc_id, n_shingles, h1, h2), classes (h1, h2, rep, copies) and links (a, b, links) between representatives.
+    """Three tables: documents (doc_id, n_shingles, h1, h2), classes (h1, h2, rep, copies, size) and links (a, b, links) between classes by h1.
 
     links has a row with b for links that hold all linked classes together (with all_pairs: for every link), and
     rows without b whose sum over links is the number of documents of other classes that a links with.
@@ -429,13 +500,7 @@ def similarity_join(docs: DataFrame, n: int = 5, percent: int = 80, block: int =
     announced = stash(announce(docs, n, percent, width, counts), "announced")
     sized = announced.where("part is null").select("doc_id", F.col("size").alias("n_shingles"), "h1", "h2")
     classes = sized.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"))
-    groups = components(meetings(announced, width))
-    reps = classes.join(groups, F.col("rep") == F.col("node")).select("rep", "copies", "size", "component")
-    dealt = stash(deal_tasks(reps, percent, block), "tasks")
-    wanted = dealt if dealt.count() > BROADCAST_ROWS else F.broadcast(dealt)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(wanted, F.col("id") == F.col("rep")).select("task", "side", "rep", "copies", "text")
-    return sized, classes, stash(join_groups(rows, n, percent, width, all_pairs), "links")
+    return sized, classes, stash(join_groups(task_rows(docs, classes, announced, percent, block), n, percent, width, all_pairs), "links")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -450,9 +515,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block: in
     sized, classes, links = similarity_join(docs, n, percent, block)
     joined = components(links.where("b is not null").select("a", "b"))
     counted = links.where("b is null").groupBy("a").agg(F.sum("links").alias("others"))
-    known = classes.join(joined, F.col("rep") == F.col("node"), "left").join(counted, F.col("rep") == F.col("a"), "left")
-    known = known.where("copies > 1 or component is not null").select("h1", "h2", F.coalesce("component", "rep").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    rows = sized.withColumn("linkable", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).join(known, ["h1", "h2"], "left")
+    known = classes.join(joined, F.col("h1") == F.col("node"), "left").join(counted, F.col("h1") == F.col("a"), "left")
+    known = stash(known.where("copies > 1 or component is not null").select("h1", "h2", "rep", F.coalesce("component", "h1").alias("group"), "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
+    least = known.groupBy("group").agg(F.min("rep").alias("component"))
+    facts = known.join(least, "group").select("h1", "h2", "component", "links", "copies")
+    # Classes of many copies are few; they are sent to their rows, which then don't all meet in one task.
+    total = known.agg(F.sum("copies")).first()[0] or 0
+    heavy = F.broadcast(facts.where(F.col("copies") > max(FEW, total // SHARE)).drop("copies"))
+    light = facts.where(F.col("copies") <= max(FEW, total // SHARE)).drop("copies")
+    rows = sized.withColumn("linkable", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    rest = rows.join(heavy.select("h1", "h2"), ["h1", "h2"], "left_anti").join(light, ["h1", "h2"], "left")
+    rows = rows.join(heavy, ["h1", "h2"]).unionByName(rest)
     component = F.when(F.col("linkable") & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.when(F.col("linkable"), F.coalesce("links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"))
 

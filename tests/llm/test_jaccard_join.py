@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lattica.llm.graph import components
-from lattica.llm.jaccard_join import Bands, SignatureTree, jaccard_components, op2_jaccard_join, similarity_join, tree_join
+from lattica.llm.jaccard_join import Bands, SignatureTree, in_order, jaccard_components, op2_jaccard_join, similarity_join, tree_join
 from lattica.llm.words import lower_words, shingle_set
 
 
@@ -73,6 +73,13 @@ def test_odd_rows(spark):
     assert sorted(map(tuple, jaccard_components(df, 3, 90).collect()), key=repr) == brute(rows, 3, 90)
 
 
+def test_texts_that_share_an_id(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone twentytwo twentythree twentyfour "
+    rows = [(5, text + "x"), (5, text + "y"), (7, text + "z"), (5, "quite another text of many other words"), (4, "quite another text of many other words"), (4, "a"), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(df, 3, 90).collect()), key=repr) == brute(rows, 3, 90)
+
+
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -80,12 +87,13 @@ def test_empty_table(spark):
 def test_all_pairs_of_classes(spark):
     rows = rows_of(9, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    _, _, links = similarity_join(df, 3, 80, all_pairs=True)
+    _, classes, links = similarity_join(df, 3, 80, all_pairs=True)
+    rep = {r["h1"]: r["rep"] for r in classes.collect()}
     first = {}
     for doc, text in rows:
         first.setdefault(frozenset(shingles(text, 3)), doc)
     expected = {(min(a, b), max(a, b)) for (s, a), (t, b) in itertools.combinations(first.items(), 2) if s and t and 100 * len(s & t) >= 80 * len(s | t)}
-    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in links.where("b is not null").collect()} == expected
+    assert {tuple(sorted((rep[r["a"]], rep[r["b"]]))) for r in links.where("b is not null").collect()} == expected
 
 
 @settings(max_examples=60, deadline=None)
@@ -111,13 +119,30 @@ def test_trees_lose_no_link(percent):
     a, b = sets[:70], sets[70:]
     crossed = {p for x, y in tree_join(a, b, bands) for p in zip(x.tolist(), y.tolist(), strict=True)}
     assert crossed == {(i, j) for i in range(len(a)) for j in range(len(b)) if linked(a[i], b[j])}
-    assert len(SignatureTree(sets, 1024).levels[-1][1]) == 1
+    assert len(SignatureTree(sets, in_order(sets)).members[-1]) == 1
+
+
+@pytest.mark.parametrize("grouped", [True, False])
+def test_trees_drop_most_pairs(grouped):
+    """Of a shard with many unrelated groups, nearly all pairs of leaves are dropped by the trees."""
+    draw = np.random.default_rng(1)
+    sets, groups = [], []
+    for group in range(600):
+        base = draw.integers(0, 2**63, int(np.exp(draw.uniform(3, 7))), dtype=np.uint64)
+        for _ in range(draw.integers(2, 5)):
+            sets.append(np.unique(base[draw.random(len(base)) < 0.99]))
+            groups.append(group)
+    tally, bands = {}, Bands(90)
+    found = {tuple(sorted(p)) for x, y in tree_join(sets, None, bands, groups if grouped else None, tally) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    linked = lambda a, b: bands.links(len(np.intersect1d(a, b)), len(a), len(b))
+    assert found == {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if groups[i] == groups[j] and linked(sets[i], sets[j])}
+    assert tally["kept"] < (0.03 if grouped else 0.1) * tally["pairs"]
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (200, 100)] + [(1000, 1000 + i) for i in range(1, 30)]
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (200, 100), (None, 3)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000 - i) for i in range(1, 300)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {i: 0 for i in range(41)} | dict.fromkeys((100, 101, 200), 100) | {i: 1000 for i in range(1000, 1030)}
+    assert found == {i: 0 for i in range(41)} | dict.fromkeys((100, 101, 200), 100) | {i: 1000 for i in range(1000, 1300)} | {i: 4701 for i in range(4701, 5001)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
