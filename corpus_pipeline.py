@@ -31,28 +31,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return learn_and_score(docs, table(spark, sf_dir, "labels"), QUALITY).where("predicted = 1").select(*docs.columns)
 
 
+def row_key(docs: DataFrame) -> DataFrame:
+    """docs with row_key, 128 bits of hash that rows alike in all columns share."""
+    # Hashes pass over nulls, so which columns are null is hashed too.
+    nulls = [F.col(c).isNull() for c in docs.columns]
+    return docs.withColumn("row_key", F.struct(F.xxhash64(*nulls, *docs.columns).alias("a"), F.xxhash64(*docs.columns, *nulls).alias("b")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id; rows that repeat an id become one.
+    """Of each group of linked rows, the one with the smallest id; null ids come last, ties are settled by a hash.
 
-    Rows without an id belong to no group and stay. Which of several rows of one id stays is settled by a hash.
+    Rows are told apart by all their columns, not by their ids: a row whose text is unlike all others stays, whether
+    or not its id is null or repeats. Rows alike in all columns are one. Rows without words link with nothing.
     """
     ship(spark)
-    found = jaccard_components(docs.select("doc_id", "text"), SHINGLE, SIMILAR)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    others = [c for c in docs.columns if c != "doc_id"]
-    first = F.min_by(F.struct(*others), F.xxhash64(*others)).alias("row")
-    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "row.*")
-    return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    keyed = row_key(docs).withColumn("own", F.col("row_key.a"))
+    found = jaccard_components(keyed.select(F.col("own").alias("doc_id"), "text"), SHINGLE, SIMILAR)
+    groups = found.select(F.col("doc_id").alias("own"), F.col("component_id").alias("near")).distinct()
+    ids = keyed.select("own", "doc_id").distinct()
+    kept = groups.join(ids, "own").groupBy("near").agg(F.min_by("own", F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("own")).select("own")
+    first = keyed.groupBy("row_key").agg(F.first(F.struct(*docs.columns)).alias("row"), F.first("own").alias("own"))
+    return first.join(kept, "own", "left_semi").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it. Rows alike in all columns count once."""
+    """Each row as often as the mix of the sources takes it; rows alike in all columns count each for itself."""
     ship(spark)
-    keyed = docs.withColumn("row_key", F.xxhash64(*docs.columns))
-    sized = stash(word_sizes(keyed, key="row_key").dropDuplicates(["doc_id"]), "sizes")
-    times = mix(sized).where("times > 0").select(F.col("doc_id").alias("row_key"), "times")
-    taken = keyed.join(times, "row_key").groupBy("row_key").agg(F.first(F.struct(*docs.columns)).alias("row"), F.first("times").alias("times"))
-    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
+    keyed = row_key(docs)
+    sized = stash(word_sizes(keyed, key="row_key"), "sizes")
+    times = mix(sized).where("times > 0").groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("times").cast("int").alias("times"))
+    rows = keyed.groupBy("row_key").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return rows.join(times, "row_key").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline by its stages, each on its own input."""
 
 import hashlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -97,6 +98,38 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def expected_rows(docs):
+    """Of the groups of linked rows among distinct ones, that with the smallest id."""
+    rows = list({tuple(r): r for r in docs.collect() if r["doc_id"] not in (1, 2, 5)}.values())
+    sets = [shingle_set(r["text"], C.SHINGLE) for r in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if similar(sets[i], sets[j]):
+                    group[j] = group[i] = min(group[i], group[j])
+    best = {}
+    for r, g in zip(rows, group, strict=True):
+        own = (r["doc_id"] is None, r["doc_id"] or 0)
+        if g not in best or own < best[g][0]:
+            best[g] = own, (r["doc_id"] or -1, r["text"])
+    return sorted(x for _, x in best.values())
+
+
+def test_mixture_keeps_repeated_rows(spark, sf_dir):
+    """One source alone is taken whole: eight rows with repeats stay eight."""
+    rows = [(1, "a b", "en", "s", 3)] * 3 + [(2, "a b c", "en", "s", 5)] * 2 + [(3, "d", None, "s", 1), (4, "e f", "en", "s", 2), (None, "g", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(str, map(tuple, C.mixture(spark, docs, sf_dir).collect()))) == sorted(map(str, rows))
+
+
+def test_rows_that_share_an_id(spark, sf_dir):
+    """Clean texts stay, though their ids repeat; copies go, though theirs don't."""
+    rows = [(5, "one text about the sea and ships that sail on it"), (5, "quite another one of hills and the sheep that graze there"), (2, "one text about the sea and ships that sail on it"), (None, "a third without a name that nobody else has written"), (None, "quite another one of hills and the sheep that graze there")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {tuple(r)[:2] for r in C.near_duplicates(spark, docs, sf_dir).collect()} == {rows[1], rows[2], rows[3]}
+
+
 @pytest.mark.parametrize("number", range(4))
 def test_stages_on_odd_rows_and_empty_tables(spark, sf_dir, odd, number):
     _, f = C.STAGES[number]
@@ -107,6 +140,11 @@ def test_stages_on_odd_rows_and_empty_tables(spark, sf_dir, odd, number):
         if number < 3:
             assert found.columns == COLUMNS
         if docs is odd and number == 1:
-            assert sorted((r["doc_id"] or -1) for r in rows) == [-1, -1, 1, 2, 3, 5]
+            # Alike rows are one; the row without an id is linked with those of id 3, and two of these with each other.
+            assert sorted(((r["doc_id"] or -1), r["text"]) for r in rows if r["doc_id"] not in (1, 2, 5)) == expected_rows(docs)
+            assert {1, 2, 5} <= {r["doc_id"] for r in rows}
+        if docs is odd and number == 2:
+            have = Counter(map(str, docs.collect()))
+            assert all(n <= 3 * have[r] for r, n in Counter(map(str, rows)).items())
         if docs is odd and number == 3:
             assert len(rows) == docs.count()
