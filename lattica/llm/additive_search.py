@@ -3,8 +3,9 @@
 A vector is coded as the sum of one full-dimensional codeword from each of several codebooks. Codebooks are
 fitted to residuals, one after another, on a bounded sample; every row is then encoded by a beam search and
 stored with the norm of its sum. A query makes one table of its products with all codewords; looked up by code,
-with the stored norm, it gives the distance to every sum. The best distinct vectors of each tile are ranked again by
-the true distance to the originals, so every score is exact; copies stand and fall together.
+with the stored norm, it gives the distance to every sum. Only codes and norms are dealt to the tiles; the best few
+of all are joined with their vectors and ranked again by the true distance, so every score is exact. The index has
+each distinct vector once, with the smallest ids of its copies, which therefore stand and fall together.
 """
 
 from __future__ import annotations
@@ -15,17 +16,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stash, table
+from lattica.llm.common import small_batches, stash, table
 from lattica.llm.tiles import best_of, by_length, finite, search, stacked, vectors
 
 #: Rows that codebooks are fitted on, at most.
 SAMPLE = 16_384
 #: Codebooks, codewords of each, sums that a beam keeps, rounds of k-means.
-BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 8
-#: Of each query and tile, the distinct vectors that are ranked again by true distance; more where they are level or k is.
+BOOKS, WORDS, BEAM, ROUNDS = 24, 256, 2, 8
+#: Of each query, the distinct vectors that are ranked again by true distance (k, if that is more).
 RERANK = 256
+#: Ids of a vector's copies that the index keeps: enough for as many nearest.
+MOST = 64
 STRIP = 64
 
 
@@ -96,14 +100,18 @@ def fit_codebooks(rows: DataFrame, sample: int = SAMPLE) -> Codebooks:
     return Codebooks.fit(stacked(lengths, values, groups[n], n))
 
 
-def build_index(rows: DataFrame, model: Codebooks) -> DataFrame:
-    """vec_id, v, code, norm for every row; code is null where the vector's length is not the codebooks'."""
+def build_index(rows: DataFrame, model: Codebooks, most: int = MOST) -> DataFrame:
+    """vid, ids, v, code, norm for every distinct vector: its hash, its most + 1 smallest ids, its code and norm.
+
+    code is null where the vector's length is not the codebooks'. Only as many ids of a vector are ever shuffled from
+    a task, so a vector with any number of copies is no burden.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                lists = batch.column(1)
+                lists = batch.column(2)
                 lengths, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
                 codes, norms = [None] * len(lengths), np.zeros(len(lengths), np.float32)
                 own = np.flatnonzero(lengths == model.dim)
@@ -111,75 +119,89 @@ def build_index(rows: DataFrame, model: Codebooks) -> DataFrame:
                     found, norms[own] = model.encode(stacked(lengths, values, own, model.dim))
                     for i, code in zip(own, found, strict=True):
                         codes[i] = code.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(codes, pa.binary()), pa.array(norms)], names=["vec_id", "v", "code", "norm"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(codes, pa.binary()), pa.array(norms)], names=["vid", "ids", "v", "code", "norm"])
 
-    return rows.select("vec_id", "v").mapInArrow(run, "vec_id bigint, v array<double>, code binary, norm float")
+    good = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
+    # Zeros of either sign are alike: a zero is added to all.
+    named = good.select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).withColumn("vid", F.xxhash64("v"))
+    place = F.row_number().over(W.partitionBy("vid").orderBy("vec_id"))
+    members = named.select("vid", "vec_id").distinct().withColumn("place", place).where(F.col("place") <= most + 1)
+    ids = members.groupBy("vid").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    whole = small_batches(named.groupBy("vid").agg(F.first("v").alias("v")).join(ids, "vid").select("vid", "ids", "v"))
+    return whole.mapInArrow(run, "vid bigint, ids array<bigint>, v array<double>, code binary, norm float")
 
 
-def distinct(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows ordered by vector, then id; where each distinct vector starts among them; how many ids it has.
+def scan(model: Codebooks | None, keep: int):
+    """A tile's work: the keep smallest rough distances of each query by codes, or true ones where there is no model."""
 
-    Of rows alike in both, one is left. Zeros of either sign are alike.
-    """
-    keys = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
-    _, group = np.unique(keys, return_inverse=True)
-    order = np.lexsort((ids, group))
-    group, ids = group[order], ids[order]
-    new = np.append(True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]))
-    order, counts = order[new], np.bincount(group[new])
-    return order, np.cumsum(counts) - counts, counts
+    def tile(queries: pa.StructArray, candidates: pa.StructArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        q_ids, ids = (x.field("vec_id").to_numpy() for x in (queries, candidates))
+        only = candidates.field("only").fill_null(0).to_numpy(zero_copy_only=False)
+        single = candidates.field("only").is_valid().to_numpy(zero_copy_only=False)
+        sizes, values = vectors(queries)
+        if model is None:
+            c_sizes, c_values = vectors(candidates)
+            groups = by_length(c_sizes)
+        else:
+            groups = {model.dim: np.arange(len(ids))}
+            codes, norms = np.frombuffer(b"".join(candidates.field("code").to_pylist()), np.uint8).reshape(len(ids), -1), candidates.field("norm").to_numpy()
+        for n, rows in by_length(sizes).items():
+            if n not in groups:
+                continue
+            at = groups[n]
+            for start in range(0, len(rows), STRIP):
+                strip = rows[start : start + STRIP]
+                own = stacked(sizes, values, strip, n)
+                if model is None:
+                    others = stacked(c_sizes, c_values, at, n)
+                    far = np.stack([((others - x) ** 2).sum(1) for x in own])
+                else:
+                    far = model.approximate(own, codes, norms)
+                far[np.isnan(far)] = np.inf
+                for i, row in enumerate(strip):
+                    # Vectors that only the query's own id has would take places and be left out in the end.
+                    others_too = at[~(single[at] & (only[at] == q_ids[row]))]
+                    near = far[i] if len(others_too) == len(at) else far[i][~(single[at] & (only[at] == q_ids[row]))]
+                    best = best_of(near, ids[others_too], keep)
+                    yield int(row), near[best].astype(float), ids[others_too[best]]
+
+    return tile
+
+
+def measured(pairs: DataFrame) -> DataFrame:
+    """query_id, qkey, ids and score: the Euclidean distance of v and q, in doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (sizes, a), (_, b) = ((np.diff(x.offsets.to_numpy()), x.flatten().to_numpy()) for x in (batch.column(3), batch.column(4)))
+            score = np.empty(len(sizes))
+            for n, rows in by_length(sizes).items():
+                score[rows] = np.sqrt(((stacked(sizes, a, rows, n) - stacked(sizes, b, rows, n)) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(score)], names=["query_id", "qkey", "ids", "score"])
+
+    return small_batches(pairs).select("query_id", "qkey", "ids", "v", "q").mapInArrow(run, "query_id bigint, qkey bigint, ids array<bigint>, score double")
 
 
 def nearest(queries: DataFrame, index: DataFrame, model: Codebooks, k: int, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance in doubles): each query's k nearest found, itself left out.
 
-    Ties go to the smaller vec_id. Rows alike in id and vector count once. Vectors are compared with those of their
-    own length; those without codes are all compared exactly. Null ids and null or empty vectors take no part; an
-    empty table gives no rows. The share of rows that is ranked again doesn't fall as the index grows. What is ranked
-    again are distinct vectors, at least k of them and all that are level with the last; each brings its k smallest ids.
+    index is build_index()'s, written or cached, with at least k ids of a vector. Ties go to the smaller vec_id. Rows
+    alike in id and vector count once. Vectors are compared with those of their own length; those without codes are
+    all compared exactly. Null ids and null or empty vectors take no part; an empty table gives no rows.
     """
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
-
-    def tile(queries: pa.StructArray, candidates: pa.StructArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        q_ids, c_ids = (x.field("vec_id").to_numpy() for x in (queries, candidates))
-        (q_sizes, q_values), (c_sizes, c_values) = vectors(queries), vectors(candidates)
-        codes, norms = candidates.field("code"), candidates.field("norm").to_numpy()
-        of_length = by_length(c_sizes)
-        for n, rows in by_length(q_sizes).items():
-            if n not in of_length:
-                continue
-            at = of_length[n]
-            others, ids = stacked(c_sizes, c_values, at, n), c_ids[at]
-            order, starts, counts = distinct(others, ids)
-            first, most = order[starts], np.minimum(counts, k + 1)  # one of k + 1 may be the query's own
-            alone = np.full(len(ids), -1)
-            alone[first[counts == 1]] = np.flatnonzero(counts == 1)
-            coded = np.frombuffer(b"".join(codes.take(pa.array(at[first])).to_pylist()), np.uint8).reshape(len(first), -1) if n == model.dim else None
-            keep = max(rerank, k)
-            for start in range(0, len(rows), STRIP):
-                strip = rows[start : start + STRIP]
-                own = stacked(q_sizes, q_values, strip, n)
-                rough = None if coded is None or len(first) <= keep + 1 else model.approximate(own, coded, norms[at[first]])
-                if rough is not None:
-                    rough[np.isnan(rough)] = np.inf
-                for i, row in enumerate(strip):
-                    if rough is None:
-                        kept = np.arange(len(first))
-                    else:
-                        # Vectors that only the query's own id has would take places and be left out below.
-                        mine = alone[ids == q_ids[row]]
-                        rough[i, mine[mine >= 0]] = np.inf
-                        kept = np.flatnonzero(rough[i] <= np.partition(rough[i], keep)[keep])
-                    far = np.sqrt(((others[first[kept]] - own[i]) ** 2).sum(1))
-                    times = most[kept]
-                    members = order[np.repeat(starts[kept] - np.cumsum(times) + times, times) + np.arange(times.sum())]
-                    far, other = np.repeat(far, times), ids[members] != q_ids[row]
-                    far, members = far[other], members[other]
-                    best = best_of(far, ids[members], k)
-                    yield int(row), far[best], ids[members[best]]
-
     asked = queries.where(good).select("vec_id", "v", F.xxhash64("v").alias("qkey"))
-    return search(asked, index.where(good), tile, "double", k).select("query_id", "rank", "vec_id", F.col("key").alias("score"))
+    keep, only = max(rerank, k), F.when(F.size("ids") == 1, F.get("ids", F.lit(0))).alias("only")
+    coded = index.where("code is not null").select(F.col("vid").alias("vec_id"), only, "code", "norm")
+    found = search(asked.where(F.size("v") == model.dim), coded, scan(model, keep), "double", keep)
+    bare = index.where("code is null").select(F.col("vid").alias("vec_id"), only, "v")
+    if bare.limit(1).count():
+        found = found.unionByName(search(asked.where(F.size("v") != model.dim), bare, scan(None, keep), "double", keep))
+    pairs = found.select("query_id", "qkey", F.col("vec_id").alias("vid")).join(index.select("vid", F.slice("ids", 1, k + 1).alias("ids"), "v"), "vid")
+    pairs = pairs.join(asked.dropDuplicates(["vec_id", "qkey"]).select(F.col("vec_id").alias("query_id"), "qkey", F.col("v").alias("q")), ["query_id", "qkey"])
+    each = measured(pairs).select("query_id", "qkey", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    rank = F.row_number().over(W.partitionBy("query_id", "qkey").orderBy("score", "vec_id"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,8 @@ def test_exact_top_k_of_odd_rows(spark):
 def test_many_tiles(spark, monkeypatch):
     from lattica.llm import tiles
 
-    monkeypatch.setattr(tiles.tiles, "__defaults__", (3, 4))
-    monkeypatch.setattr(tiles, "FAN_IN", 2)
+    for name, value in (("BLOCK", 3), ("SHARD", 4), ("FAN_IN", 2)):
+        monkeypatch.setattr(tiles, name, value)
     draw = np.random.default_rng(4)
     rows = [(int(i), draw.integers(-2, 3, 3).tolist()) for i in range(50)]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
@@ -101,7 +101,7 @@ def test_many_copies(spark, k):
     v[50] = v[0] + 1e-3
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
     model = fit_codebooks(df)
-    index = build_index(df, model).cache()
+    index = build_index(df, model, k).cache()
     hits = asked = 0
     for q, rows in nearest(df.where("vec_id % 500 = 0 or vec_id = 50"), index, model, k).toPandas().groupby("query_id"):
         d = distances(v, q)
@@ -130,6 +130,32 @@ def test_many_rows_of_the_query(spark):
     assert [r["vec_id"] for r in found] == (np.argsort(d, kind="stable")[:10] + 1).tolist()
 
 
+def test_ties_in_all_places(spark):
+    """Vectors at one distance from the query: the smaller ids, also where copies and others are level at the cut."""
+    rows = [(i, [float(i % 2 * 2 - 1), 0.0]) for i in range(1, 40)] + [(0, [0.0, 0.0]), (50, [0.0, 1.0]), (51, [0.0, -0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    model = fit_codebooks(df)
+    index = build_index(df, model).cache()
+    found = [(r["vec_id"], r["score"]) for r in nearest(df.where("vec_id = 0"), index, model, 5).orderBy("rank").collect()]
+    assert found == [(51, 0.0), (1, 1.0), (2, 1.0), (3, 1.0), (4, 1.0)]
+
+
+def test_recall_at_fifty_thousand(spark):
+    """At a size where what is ranked again is half a percent of all rows."""
+    e = spark.read.parquet("/root/testdata/check_l/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(finite(F.col("embedding"))).cache()
+    assert e.count() > 50_000
+    model = fit_codebooks(e)
+    index = build_index(e, model).cache()
+    found = nearest(e.where("vec_id % 300 = 0"), index, model, 10).toPandas()
+    rows = e.toPandas()
+    v, ids, hits = np.stack(rows.v.values), rows.vec_id.to_numpy(), 0
+    for q, own in found.groupby("query_id"):
+        d = np.sqrt(((v - v[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hits += len(set(own.vec_id) & set(ids[np.lexsort((ids, d))[:10]]))
+    assert hits >= 0.95 * len(found)
+
+
 def test_codes_add_up():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(3000, 8))
