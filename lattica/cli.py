@@ -7,29 +7,26 @@ from __future__ import annotations
 
 import argparse
 import time
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.box_tree import BoxTree
-from lattica.operators.kd_cells import kd_cells, kd_nodes
 from lattica.operators.layout import LearnedIndex
 from lattica.operators.points import Points
-from lattica.plans.search import candidate_cells, indexed_nearest
 from lattica.sources.store import read_points, save_index, save_tree
 
 KS = (1, 5, 10, 50, 100, 500)
 
 
-def metrics(points: Points, cells: DataFrame, queries: DataFrame, cell: str, ks=KS) -> DataFrame:
-    """k, queries, avg_cells (candidates of a query), avg_rows (points that a query tests)."""
-    sizes = cells.select(cell, F.col("n").alias("_n"))
-    out = None
+def metrics(costs: Callable[[DataFrame, int], DataFrame], queries: DataFrame, page: str, ks=KS) -> DataFrame:
+    """k, queries, avg_pages (pages that a query opens), avg_rows (points that it tests)."""
+    out = []
     for k in ks:
-        per = candidate_cells(cells, queries, k, points.d, cell).join(sizes, cell).groupBy("qid").agg(F.count(F.lit(1)).alias("c"), F.sum("_n").alias("r"))
-        row = per.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("queries"), F.avg("c").alias("avg_cells"), F.avg("r").alias("avg_rows"))
-        out = row if out is None else out.unionAll(row)
-    return out
+        out.append(costs(queries, k).agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("queries"), F.avg(page).alias("avg_pages"), F.avg("tested").alias("avg_rows")))
+    return reduce(DataFrame.unionAll, out)
 
 
 def main(args: list[str] | None = None) -> None:
@@ -51,23 +48,18 @@ def main(args: list[str] | None = None) -> None:
     points = Points.of(read_points(spark, a.input), a.key.split(","), names)
     queries = read_points(spark, a.queries).select("qid", *[F.col(f"q{i}").cast("double").alias(f"q{i}") for i in range(points.d)])
     began = time.time()
-    if a.index == "grid":
+    if a.index == "rtree":
+        index = BoxTree.build(points, a.leaf)
+        save_tree(index, a.dump)
+        costs, page = index.nearest_costs, "leaf_pages"
+    else:
         shape = tuple(map(int, a.shape.split(","))) if a.shape else (6,) * points.d
-        index = LearnedIndex.build(points, shape)
+        index = LearnedIndex.build(points, shape) if a.index == "grid" else LearnedIndex.build_kd(points, a.leaf)
         save_index(index, a.dump)
-        placed, cells, cell = points.with_df(index.points), index.cells, "cell"
-    elif a.index == "kd":
-        df, cells = kd_cells(kd_nodes(points, a.leaf), points.d)
-        placed, cell = points.with_df(df), "cell"
-        df.write.mode("overwrite").parquet(f"{a.dump}/points")
-        cells.write.mode("overwrite").parquet(f"{a.dump}/cells")
-    else:
-        tree = BoxTree.build(points, a.leaf)
-        save_tree(tree, a.dump)
-        placed, cells, cell = tree.points, tree.nodes.where("is_leaf"), "node"
+        costs, page = index.nearest_costs, "pages"
     built = time.time() - began
-    indexed_nearest(placed, cells, queries, a.nearest, cell).write.mode("overwrite").parquet(f"{a.output}/nearest")
-    metrics(placed, cells, queries, cell).withColumn("build_seconds", F.lit(built)).coalesce(1).write.mode("overwrite").json(f"{a.output}/metrics")
+    index.nearest(queries, a.nearest).write.mode("overwrite").parquet(f"{a.output}/nearest")
+    metrics(costs, queries, page).withColumn("build_seconds", F.lit(built)).coalesce(1).write.mode("overwrite").json(f"{a.output}/metrics")
 
 
 if __name__ == "__main__":

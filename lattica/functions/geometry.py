@@ -77,8 +77,8 @@ def min_max_distance_squared(p: Vector, lo: Vector, hi: Vector) -> Column:
     low_half = [x >= (a + b) / 2 for x, a, b in zip(p, lo, hi, strict=True)]
     far = [square(x - F.when(upper, a).otherwise(b)) for x, a, b, upper in zip(p, lo, hi, low_half, strict=True)]
     near = [square(x - F.when(upper, b).otherwise(a)) for x, a, b, upper in zip(p, lo, hi, low_half, strict=True)]
-    total = reduce(add, far)
-    bounds = [total - f + n for f, n in zip(far, near, strict=True)]
+    # Sums of squares alone, none taken away again: a bound must not come out too small.
+    bounds = [reduce(add, [near[j] if i == j else far[j] for j in range(len(far))]) for i in range(len(far))]
     return bounds[0] if len(bounds) == 1 else F.least(*bounds)
 
 

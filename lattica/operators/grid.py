@@ -11,7 +11,7 @@ from operator import mul
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.geometry import bounds
+from lattica.functions.geometry import all_of, bounds
 from lattica.operators.points import Points
 from lattica.operators.ranking import values_at
 
@@ -79,15 +79,10 @@ class Grid:
         """Row-major number of a cell, the last dimension running fastest."""
         return reduce(lambda cell, x: cell * F.lit(x[0]) + x[1], zip(self.shape[1:], intervals[1:], strict=True), intervals[0].cast("long"))
 
-    def fraction(self, p: Sequence[Column], intervals: Sequence[Column], clamp: bool = False) -> Column:
+    def fraction(self, p: Sequence[Column], intervals: Sequence[Column]) -> Column:
         """The share of the cell's volume between its lower corner and the point."""
-        parts = []
-        for i, (x, at) in enumerate(zip(p, intervals, strict=True)):
-            parts.append(x - self.low(i, at))
+        parts = [x - self.low(i, at) for i, (x, at) in enumerate(zip(p, intervals, strict=True))]
         sizes = [self.high(i, at) - self.low(i, at) for i, at in enumerate(intervals)]
-        if clamp:
-            ratios = [F.least(F.greatest(a / b, F.lit(0.0)), F.lit(1.0 - 2.0**-40)) for a, b in zip(parts, sizes, strict=True)]
-            return reduce(mul, ratios)
         return F.coalesce(F.try_divide(reduce(mul, parts), reduce(mul, sizes)), F.lit(0.0))
 
     def place(self, points: Points) -> DataFrame:
@@ -117,6 +112,25 @@ class Grid:
         """cell, bounding box and number of its points, of cells that have any."""
         return placed.groupBy("cell").agg(*bounds([F.col(f"x{i}") for i in range(self.d)]), F.count(F.lit(1)).alias("n"))
 
+    def frames(self, cells: DataFrame) -> DataFrame:
+        """cells with flo0.., fhi0..: the borders of each cell, from its number."""
+        rest, intervals = F.col("cell"), []
+        for n in reversed(self.shape):
+            intervals.append((rest % n).cast("int"))
+            rest = F.floor(rest / n)
+        at = intervals[::-1]
+        return cells.select("*", *[self.low(i, x).alias(f"flo{i}") for i, x in enumerate(at)], *[self.high(i, x).alias(f"fhi{i}") for i, x in enumerate(at)])
+
+    def cells_of(self, boxes: DataFrame) -> DataFrame:
+        """boxes (lo0.., hi0.., more) with a row for each cell that a box can have points in; none for an empty box."""
+        full = all_of([F.col(f"lo{i}") <= F.col(f"hi{i}") for i in range(self.d)])
+        df = boxes.where(full)
+        for i in range(self.d):
+            steps = F.sequence(self.interval(i, F.col(f"lo{i}")), self.interval(i, F.col(f"hi{i}")))
+            df = df.withColumn(f"_i{i}", F.explode(steps))
+        at = [F.col(f"_i{i}") for i in range(self.d)]
+        return df.withColumn("cell", self.cell_of(at)).drop(*[f"_i{i}" for i in range(self.d)])
+
     def cuts(self, dim: int, lo: float, hi: float) -> list[tuple[float, float]]:
         """An interval cut at the borders within it; its lower side is held to the first border."""
         start = max(lo, self.starts[dim][0])
@@ -142,13 +156,13 @@ class Grid:
         return found
 
     def meets(self, lo: Sequence[float], hi: Sequence[float], listed: int = 1000) -> Column:
-        """Condition on cell for the cells that a box meets: a list if short, else ranges of the first dimension's rows."""
+        """Condition on cell and i0.. for the cells that a box meets: the cells by number if few, else the intervals of each dimension."""
         steps = self.steps(lo, hi)
         n = reduce(mul, map(len, steps))
         if not n:
             return F.lit(False)
+        number = lambda at: reduce(lambda cell, x: cell * x[0] + x[1], zip(self.shape[1:], at[1:], strict=True), at[0])
         if n <= listed:
-            cells = [reduce(lambda cell, x: cell * x[0] + x[1], zip(self.shape[1:], at[1:], strict=True), at[0]) for at in itertools.product(*steps)]
-            return F.col("cell").isin(cells)
-        rows = self.n_cells // self.shape[0]
-        return F.col("cell").between(steps[0][0] * rows, (steps[0][-1] + 1) * rows - 1)
+            return F.col("cell").isin([number(at) for at in itertools.product(*steps)])
+        ends = F.col("cell").between(number([s[0] for s in steps]), number([s[-1] for s in steps]))
+        return all_of([ends, *(F.col(f"i{i}").between(s[0], s[-1]) for i, s in enumerate(steps))])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,10 +11,12 @@ from pyspark.sql import functions as F
 from lattica.functions.geometry import bounds, vector
 from lattica.operators.points import Points
 from lattica.operators.ranking import global_rank
-from lattica.sources.shared import stash
+from lattica.sources.shared import bounded_broadcast, stash
 
 #: Rows of a node up to which one task ranks it; larger ones are ranked over range partitions, with the same ranks.
 EXACT = 1_000_000
+#: Rows of a node up to which one task splits it down to its leaves.
+TASK_ROWS = 100_000
 
 
 def split_level(df: DataFrame, x: str, key: tuple[str, ...], leaf: int, exact: int = EXACT) -> DataFrame:
@@ -23,8 +27,8 @@ def split_level(df: DataFrame, x: str, key: tuple[str, ...], leaf: int, exact: i
     sizes = stash(df.groupBy("node").agg(F.count(F.lit(1)).alias("_n")), "kd-sizes")
     large = F.col("_n") > max(exact, leaf)
     any_large = sizes.where(large).limit(1).count() > 0
-    # Nodes number N / leaf; each carries two numbers.
-    df = df.join(sizes, "node")
+    # Nodes that are still split here have more than a task's rows each; each carries two numbers.
+    df = df.join(bounded_broadcast(sizes), "node")
     rest = df.where(~large) if any_large else df
     halved = rest.withColumn("_right", F.ntile(2).over(W.partitionBy("node").orderBy(x, *key)) - 1)
     if any_large:
@@ -38,17 +42,43 @@ def split_level(df: DataFrame, x: str, key: tuple[str, ...], leaf: int, exact: i
     return halved.withColumn("node", F.when(split, 2 * F.col("node") + F.col("_right")).otherwise(F.col("node"))).drop("_n", "_right")
 
 
-def kd_nodes(points: Points, leaf: int, levels: int = 40) -> DataFrame:
+def split_rows(node: int, level: int, x: np.ndarray, leaf: int) -> np.ndarray:
+    """The leaf of each row, given the node that holds them all and its level; rows in the order of their keys."""
+    nodes = np.full(len(x), node, np.int64)
+    work = [(np.arange(len(x)), level)]
+    while work:
+        rows, depth = work.pop()
+        if len(rows) <= leaf:
+            continue
+        order = rows[np.argsort(x[rows, depth % x.shape[1]], kind="stable")]
+        half = -(-len(order) // 2)
+        left, right = np.sort(order[:half]), np.sort(order[half:])
+        nodes[left], nodes[right] = 2 * nodes[left], 2 * nodes[right] + 1
+        work += [(left, depth + 1), (right, depth + 1)]
+    return nodes
+
+
+def kd_nodes(points: Points, leaf: int, task_rows: int = TASK_ROWS) -> DataFrame:
     """The points with node, a leaf of at most `leaf` points (1 is the root); dimensions take turns.
 
-    A node whose points are all alike in every dimension is halved by key like any other, so the depth is bounded.
+    Nodes are halved by exact rank, ties by the key, so a node of points that are all alike is halved like any other,
+    and the depth is that of N / leaf. Nodes of more than task_rows points are halved level by level over all tasks;
+    then each is one task's work, down to its leaves: one shuffle, however many levels are left.
     """
-    df = points.df.withColumn("node", F.lit(1).cast("long"))
-    for level in range(levels):
-        if not df.groupBy("node").count().where(F.col("count") > leaf).limit(1).count():
-            break
-        df = stash(split_level(df, f"x{level % points.d}", points.key, leaf), "kd-level")
-    return df
+    df, level, d = points.df.withColumn("node", F.lit(1).cast("long")), 0, points.d
+    large = max(task_rows, leaf)
+    while df.groupBy("node").count().where(F.col("count") > large).limit(1).count():
+        df = stash(split_level(df, f"x{level % d}", points.key, large), "kd-level")
+        level += 1
+    key, names = list(points.key), df.columns
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key)
+        node = int(rows["node"].iloc[0])
+        x = rows[[f"x{i}" for i in range(d)]].to_numpy(float)
+        return rows.assign(node=split_rows(node, node.bit_length() - 1, x, leaf))[names]
+
+    return stash(df.groupBy("node").applyInPandas(one, df.schema), "kd-leaves")
 
 
 def kd_cells(nodes: DataFrame, d: int, border_eps: float = 0.01) -> tuple[DataFrame, DataFrame]:
@@ -61,8 +91,8 @@ def kd_cells(nodes: DataFrame, d: int, border_eps: float = 0.01) -> tuple[DataFr
     boxes = nodes.groupBy("node").agg(*bounds(x), F.count(F.lit(1)).alias("n"))
     # From left to right: by the path from the root, as binary digits without the leading one.
     path = F.substring(F.conv(F.col("node").cast("string"), 10, 2), 2, 64)
-    cells = stash(boxes.withColumn("cell", (F.row_number().over(W.orderBy(path)) - 1).cast("long")), "kd-cells")
-    df = nodes.join(cells.select("node", "cell", *lo, *hi), "node")
+    cells = stash(global_rank(boxes.withColumn("_path", path), ["_path"], "cell").drop("_path"), "kd-cells")
+    df = nodes.join(bounded_broadcast(cells.select("node", "cell", *lo, *hi)), "node")
     part = whole = F.lit(1.0)
     for a, b, c in zip(x, lo, hi, strict=True):
         part, whole = part * (a - b), whole * (c + F.lit(border_eps) - b)
@@ -70,7 +100,10 @@ def kd_cells(nodes: DataFrame, d: int, border_eps: float = 0.01) -> tuple[DataFr
 
 
 def order_violations(cells: DataFrame, d: int) -> DataFrame:
-    """Pairs of cells, later before earlier in every dimension: all(lo_later < hi_earlier)."""
+    """Pairs of cells, later before earlier in every dimension: all(lo_later < hi_earlier).
+
+    A check for numberings from elsewhere: kd_cells() has no such pair.
+    """
     a, b = cells.alias("a"), cells.alias("b")
     below = F.lit(True)
     for i in range(d):

@@ -26,15 +26,23 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Data
     return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
-def equal_parts(df: DataFrame, parts: int, rank: str = "rank", name: str = "part") -> DataFrame:
-    """df with a part from 0: ranks cut into parts whose sizes differ by one at most, larger ones first."""
+def equal_parts(df: DataFrame, parts: int, rank: str = "rank", name: str = "part", within: str | None = None) -> DataFrame:
+    """df with a part from 0: ranks cut into parts whose sizes differ by one at most, larger ones first.
+
+    within names a column for the rank within the part, from 0: what is left of the rank, by arithmetic alone.
+    """
     n = df.count()
     small, larger = divmod(n, parts)
     edge = larger * (small + 1)
     r = F.col(rank)
     part = F.when(r < edge, F.floor(r / (small + 1)))
     part = part.otherwise(larger + F.floor((r - edge) / small)) if small else part.otherwise(F.lit(larger))
-    return df.withColumn(name, part.cast("int"))
+    df = df.withColumn(name, part.cast("int"))
+    if not within:
+        return df
+    p = F.col(name).cast("long")
+    start = F.when(p < larger, p * (small + 1)).otherwise(edge + (p - larger) * small)
+    return df.withColumn(within, r - start)
 
 
 def chunk_starts(n: int, chunks: int) -> list[int]:

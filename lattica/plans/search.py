@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.functions.geometry import all_of, constants, distance_squared, in_box, max_distance_squared, min_distance_squared, min_max_distance_squared, vector
+from lattica.functions.geometry import all_of, constants, distance_squared, in_box, min_distance_squared, min_max_distance_squared, vector
+from lattica.operators.grid import Grid
 from lattica.operators.points import Points
-from lattica.sources.shared import bounded_broadcast
+from lattica.plans.descend import hierarchy, near_nodes
+from lattica.sources.shared import BROADCAST_ROWS, is_small, shuffle_width, split_join
+
+#: Queries of a block, pairs of query and neighbour that a task gives at a time, points that it takes at a time.
+QUERY_BLOCK, PAIR_ROWS, SCAN_ROWS = 20_000, 1_000_000, 65_536
+#: Points of a cell where boxes and points meet by cell.
+CELL_ROWS = 10_000
 
 
 def in_rectangle(points: DataFrame, lo: Sequence[float], hi: Sequence[float]) -> DataFrame:
@@ -36,19 +46,31 @@ def nearest(points: Points, q: Sequence[float], k: int) -> DataFrame:
 
 
 def expanding_radius(points: Points, q: Sequence[float], k: int, start: float) -> DataFrame:
-    """The k nearest by balls of doubling radius; ends when k points are found or the ball holds them all.
+    """The k nearest by balls of doubling radius from start, which must be over 0; ends when k points are found or the ball holds them all.
 
     No step returns rows to the driver but a count.
     """
+    if not start > 0:
+        raise ValueError("the first radius must be over 0")
     total, radius = points.df.count(), start
     while (found := within(points.df, q, radius)).limit(k).count() < min(k, total):
         radius *= 2
     return found.withColumn("rn", F.row_number().over(W.orderBy("d2", *points.key))).where(F.col("rn") <= k)
 
 
-def batch_boxes(points: Points, boxes: DataFrame) -> DataFrame:
-    """Each box with each of its points. boxes: bid, lo0.., hi0.. ."""
-    return points.df.join(bounded_broadcast(boxes), in_box(points.x, vector("lo", points.d), vector("hi", points.d)))
+def batch_boxes(points: Points, boxes: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Each box with each of its points. boxes: bid, lo0.., hi0.. .
+
+    Up to `limit` boxes are sent to the points. More are dealt with the points to the cells of a grid, and join by cell.
+    """
+    inside = in_box(points.x, vector("lo", points.d), vector("hi", points.d))
+    if is_small(boxes, limit):
+        return points.df.join(F.broadcast(boxes), inside)
+    chunks = max(2, round((points.df.count() / CELL_ROWS) ** (1 / points.d)))
+    grid = Grid.fit(points, (chunks,) * points.d)
+    placed = grid.place(points).drop("mapping", *[f"i{i}" for i in range(points.d)])
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return split_join(placed, grid.cells_of(boxes), ["cell"], sizes, points.key).where(inside).drop("cell")
 
 
 def top_k(df: DataFrame, query: str, key: Sequence[str], k: int | Column) -> DataFrame:
@@ -56,33 +78,94 @@ def top_k(df: DataFrame, query: str, key: Sequence[str], k: int | Column) -> Dat
     return df.withColumn("rn", F.row_number().over(W.partitionBy(query).orderBy("d2", *key))).where(F.col("rn") <= k)
 
 
-def batch_nearest(points: Points, queries: DataFrame, k: int) -> DataFrame:
-    """Each query's k nearest by a full scan. queries: qid, q0.. ."""
-    pairs = points.df.crossJoin(bounded_broadcast(queries)).withColumn("d2", distance_squared(points.x, vector("q", points.d)))
-    return top_k(pairs, "qid", points.key, k)
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the session shuffles into: a small file is one partition, and one core's work."""
+    width = shuffle_width(df.sparkSession)
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= width else df.repartition(width)
+
+
+def _nearest_of(x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of q the places in x of its k nearest, ties to the earlier place: rows of q, places, squared distances."""
+    found = []
+    step = max(1, (4 << 20) // max(1, len(x)))
+    for start in range(0, len(q), step):
+        d2 = np.zeros((len(q[start : start + step]), len(x)))
+        for j in range(x.shape[1]):
+            gap = x[None, :, j] - q[start : start + step, None, j]
+            d2 += gap * gap
+        if len(x) > k:
+            cut = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
+            row, place = np.nonzero(d2 <= cut)
+        else:
+            row, place = (v.ravel() for v in np.indices(d2.shape))
+        far = d2[row, place]
+        order = np.lexsort((place, far, row))
+        row, place, far = row[order], place[order], far[order]
+        among = np.arange(len(row)) - np.searchsorted(row, row)
+        best = among < k
+        found.append((row[best] + start, place[best], far[best]))
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+
+def batch_nearest(points: Points, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """Each query's k nearest by a full scan: qid, the key, x0.., d2 and rn. queries: qid, q0.. .
+
+    Blocks of at most some `block` queries are sent to the points, which they meet in matrices of bounded size; of
+    each, only k points of a query go on. More queries are more blocks, each a scan: past a few blocks use an index.
+    """
+    names, axes = [*points.key, *[f"x{i}" for i in range(points.d)]], [f"q{i}" for i in range(points.d)]
+    n = queries.count()
+    blocks = max(1, -(-n // max(1, min(block, PAIR_ROWS // k))))
+    df = spread(points.df.select(*names)).sortWithinPartitions(*points.key)
+    kinds = {f.name: f.dataType for f in (*queries.schema.fields, *df.schema.fields)}
+    schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in ("qid", *names)) + ", d2 double"
+    lists = []
+    for number in range(blocks):
+        own = queries.select("qid", *axes).where(F.pmod(F.xxhash64("qid", *axes), F.lit(blocks)) == number).toArrow()
+        ids, q = own.column("qid").combine_chunks(), np.stack([own.column(c).to_numpy() for c in axes], 1)
+        if not len(ids):
+            continue
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+            def one(part: pa.Table) -> Iterator[pa.RecordBatch]:
+                x = np.stack([part.column(f"x{i}").to_numpy() for i in range(q.shape[1])], 1)
+                row, place, far = _nearest_of(x, q, k)
+                kept = part.take(pa.array(place))
+                columns = [ids.take(pa.array(row)), *kept.columns, pa.array(far)]
+                yield from pa.table(columns, names=["qid", *part.column_names, "d2"]).to_batches(65536)
+
+            held, rows = [], 0
+            for batch in batches:
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= max(SCAN_ROWS, len(q) * k):
+                    yield from one(pa.Table.from_batches(held))
+                    held, rows = [], 0
+            if rows:
+                yield from one(pa.Table.from_batches(held))
+
+        lists.append(df.mapInArrow(run, schema))
+    if not lists:
+        return queries.select("qid").limit(0).crossJoin(points.df.select(*names).limit(0)).withColumn("d2", F.lit(0.0)).withColumn("rn", F.lit(0))
+    return top_k(reduce(DataFrame.unionAll, lists), "qid", points.key, k)
+
+
+def candidate_cells(cells: DataFrame, queries: DataFrame, k: int, d: int, cell: str = "cell", fans: Sequence[int] | None = None) -> DataFrame:
+    """qid, q0.., cell, md: for each query the cells that can hold one of its k nearest, found by descent.
+
+    cells: cell (a number), lo0.., hi0.. (bounds of the points in it) and n.
+    """
+    return near_nodes(queries, hierarchy(cells, d, cell, fans), k, d).withColumnRenamed("node", cell)
 
 
-def candidate_cells(cells: DataFrame, queries: DataFrame, k: int, d: int, cell: str = "cell") -> DataFrame:
-    """qid, q0.., cell, md: for each query the cells that can hold one of its k nearest.
+def indexed_nearest(points: Points, cells: DataFrame, queries: DataFrame, k: int, cell: str = "cell", levels: Sequence[DataFrame] | None = None) -> DataFrame:
+    """Each query's k nearest, from the points of its candidate cells alone. points.df has the cell.
 
-    cells: cell, lo0.., hi0.. (bounds of the points in it) and n. Cells in the order of their farthest corners are
-    summed up until they hold k points: no nearest point lies beyond that corner, so cells whose near side does are
-    dropped. Fewer than k points in all keep every cell.
+    levels: a hierarchy that ends in the cells, where there is one already.
     """
-    q, lo, hi = vector("q", d), vector("lo", d), vector("hi", d)
-    pairs = queries.crossJoin(bounded_broadcast(cells.select(cell, *lo, *hi, "n")))
-    pairs = pairs.select("qid", *q, cell, "n", min_distance_squared(q, lo, hi).alias("md"), max_distance_squared(q, lo, hi).alias("mx"))
-    held = F.sum("n").over(W.partitionBy("qid").orderBy("mx", cell))
-    reach = F.min(F.when(F.col("held") >= k, F.col("mx"))).over(W.partitionBy("qid"))
-    ranked = pairs.withColumn("held", held).withColumn("reach", F.coalesce(reach, F.lit(float("inf"))))
-    return ranked.where("md <= reach").select("qid", *q, cell, "md")
-
-
-def indexed_nearest(points: Points, cells: DataFrame, queries: DataFrame, k: int, cell: str = "cell") -> DataFrame:
-    """Each query's k nearest, from the points of its candidate cells alone. points.df has the cell."""
-    candidates = candidate_cells(cells, queries, k, points.d, cell)
-    pairs = points.df.join(candidates, cell).withColumn("d2", distance_squared(points.x, vector("q", points.d)))
-    return top_k(pairs, "qid", points.key, k)
+    candidates = near_nodes(queries, levels or hierarchy(cells, points.d, cell), k, points.d).withColumnRenamed("node", cell)
+    pairs = split_join(points.df, candidates, [cell], cells.select(cell, "n"), points.key)
+    return top_k(pairs.withColumn("d2", distance_squared(points.x, vector("q", points.d))), "qid", points.key, k)
 
 
 def branch_order(cells: DataFrame, q: Sequence[float], by: str = "min") -> DataFrame:

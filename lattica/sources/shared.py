@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="lattica-")
     spark.sparkContext.setCheckpointDir(path)
     return f"file://{path}"
@@ -28,15 +34,60 @@ def stash(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps don't depend on executors that made it."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that stash() wrote; for when no result that was made of them is read again."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has no more than this many rows, else as it is: Spark then shuffles both sides."""
-    from pyspark.sql import functions as F
+#: Rows up to which a side of a join is sent to all tasks.
+BROADCAST_ROWS = 100_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has no more than this many rows; no more than these are counted."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, for an equi-join: with a broadcast hint if it has no more than this many rows, else Spark shuffles both sides."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], spread: Sequence[str], salts: int = 8, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined with a table that has a few rows for each key: sent to all tasks if small.
+
+    Else both sides are shuffled, with every key split into `salts` by a hash of the columns `spread` of rows, so
+    that a key of very many rows isn't one task's work.
+    """
+    if is_small(table, limit):
+        return rows.join(F.broadcast(table), on)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def split_join(points: DataFrame, asked: DataFrame, on: list[str], sizes: DataFrame, key: Sequence[str], rows: int = 50_000) -> DataFrame:
+    """points joined with what asks for their groups, groups of more than `rows` points in several pieces.
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    sizes: the columns `on` and n, the points of each group. A large group's points are dealt to pieces by a hash of
+    their key, and every request for it goes to each of its pieces. There are at most N / rows such groups.
+    """
+    heavy = sizes.where(F.col("n") > rows).select(*on, F.ceil(F.col("n") / rows).cast("int").alias("_pieces"))
+    if not heavy.limit(1).count():
+        return points.join(asked, on)
+    heavy = bounded_broadcast(heavy)
+    piece = F.when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(*key), F.col("_pieces")).cast("int"))
+    dealt = points.join(heavy, on, "left").withColumn("_piece", piece).drop("_pieces")
+    pieces = F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)
+    copies = asked.join(heavy, on, "left").withColumn("_piece", F.explode(pieces)).drop("_pieces")
+    return dealt.join(copies, [*on, "_piece"]).drop("_piece")

@@ -23,21 +23,26 @@ def _read_manifest(spark: SparkSession, path: str) -> dict:
 
 
 def save_index(index: LearnedIndex, path: str, groups: int = 64) -> None:
-    """Points lie in folders by cell_group, runs of cells, sorted by mapping: a box reads the folders and row groups it needs."""
+    """All tables of an index over grid or KD cells.
+
+    Points lie in folders by cell_group, runs of cells, sorted by mapping: a box reads the folders and row groups it
+    needs.
+    """
     spark = index.points.sparkSession
-    group = F.floor(F.col("cell") * groups / max(1, index.grid.n_cells)).cast("int")
-    dealt = index.points.withColumn("cell_group", group).repartitionByRange(shuffle_width(spark), "mapping").sortWithinPartitions("mapping")
+    group = F.floor(F.col("cell") * groups / max(1, index.n_cells)).cast("int")
+    dealt = index.points.drop("cell_group").withColumn("cell_group", group).repartitionByRange(shuffle_width(spark), "mapping").sortWithinPartitions("mapping")
     dealt.write.mode("overwrite").partitionBy("cell_group").parquet(f"{path}/points")
-    index.cells.write.mode("overwrite").parquet(f"{path}/cells")
-    index.models.write.mode("overwrite").parquet(f"{path}/models")
-    _write_manifest(spark, path, {"kind": "learned", "starts": index.grid.starts, "ends": index.grid.ends, "key": index.key, "psi": index.psi, "groups": groups})
+    for name in ("cells", "models", "parts", "rects"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    grid = {"starts": index.grid.starts, "ends": index.grid.ends} if index.grid else None
+    _write_manifest(spark, path, {"kind": "learned", "grid": grid, "key": index.key, "d": index.d, "psi": index.psi, "n_cells": index.n_cells, "groups": groups})
 
 
 def load_index(spark: SparkSession, path: str) -> LearnedIndex:
     m = _read_manifest(spark, path)
-    grid = Grid(tuple(map(tuple, m["starts"])), tuple(m["ends"]))
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return LearnedIndex(read("points"), read("cells"), read("models"), grid, tuple(m["key"]), m["psi"])
+    grid = Grid(tuple(map(tuple, m["grid"]["starts"])), tuple(m["grid"]["ends"])) if m["grid"] else None
+    points, cells, models, parts, rects = (spark.read.parquet(f"{path}/{name}") for name in ("points", "cells", "models", "parts", "rects"))
+    return LearnedIndex(points, cells, models, parts, rects, tuple(m["key"]), m["d"], m["psi"], m["n_cells"], grid, m["groups"])
 
 
 def save_tree(tree: BoxTree, path: str) -> None:
@@ -61,3 +66,28 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith("/images"):
         return spark.read.format("binaryFile").load(path)
     return spark.read.parquet(path)
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """Points, boxes or queries as Parquet, CSV or JSON lines, by the name's ending."""
+    out = points.write.mode("overwrite")
+    if path.endswith(".csv"):
+        out.csv(path, header=True)
+    elif path.endswith((".json", ".jsonl")):
+        out.json(path)
+    else:
+        out.parquet(path)
+
+
+def read_images(spark: SparkSession, path: str, label_bytes: int = 1, side: int = 32) -> DataFrame:
+    """number, label and image: the records of binary image batches, each the label's bytes and 3 x side x side pixels, channel by channel.
+
+    Records have one length, so Spark cuts the files without reading any of them as a whole. label is the last of
+    its bytes; other formats, such as pickles, are not read, since to unpickle is to run what the file says.
+    """
+    size = 3 * side * side
+    rows = spark.sparkContext.binaryRecords(path, label_bytes + size).map(lambda record: (bytearray(record),))
+    values = spark.createDataFrame(rows, "record binary").withColumn("hex", F.hex("record"))
+    at = lambda i: F.conv(F.substring("hex", 2 * i + 1, 2), 16, 10).cast("int")
+    pixels = F.transform(F.sequence(F.lit(label_bytes), F.lit(label_bytes + size - 1)), lambda i: F.conv(F.substring(F.col("hex"), 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    return values.select(at(label_bytes - 1).alias("label") if label_bytes else F.lit(None).cast("int").alias("label"), pixels.alias("image"))

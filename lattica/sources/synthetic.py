@@ -17,6 +17,12 @@ def uniform_points(spark: SparkSession, n: int, d: int, low: float, high: float,
     return spark.range(n).select(F.col("id").alias("pid"), *coordinates)
 
 
+def query_points(spark: SparkSession, n: int, d: int, low: float, high: float, seed: int = 7) -> DataFrame:
+    """qid and q0.. : n independent places to search around."""
+    made = uniform_points(spark, n, d, low, high, seed)
+    return made.select(F.col("pid").alias("qid"), *[F.col(f"x{i}").alias(f"q{i}") for i in range(d)])
+
+
 def query_boxes(spark: SparkSession, mins: Sequence[float], maxs: Sequence[float], n: int = 100, side: float = 0.25, seed: int = 42) -> DataFrame:
     """bid, lo0.., hi0.. : lower corners between the least and the largest bound, sides up to a share of each dimension's extent."""
     low, high = min(mins), max(maxs)
