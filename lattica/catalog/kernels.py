@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.catalog.base import B, C, L, P, Q, boxes_of, customers, lines, number, parts, queries_of, query, read
+from lattica.catalog.base import B, C, L, P, boxes_of, customers, lines, number, parts, query, read
 from lattica.functions import geometry as G
 from lattica.operators.points import Points
 from lattica.plans import search
@@ -106,17 +106,6 @@ def enlargement(spark, sf_dir):
     return s.df.crossJoin(F.broadcast(m)).select("s_suppkey", G.enlargement(s.x, G.vector("lo", 2), G.vector("hi", 2)).alias("grown"))
 
 
-@query(
-    f"WITH {C}, m AS (SELECT c_nationkey, {MBR} FROM c GROUP BY 1), s AS (SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) AS x0, CAST(s_suppkey AS DOUBLE) AS x1 FROM supplier),"
-    f" r AS (SELECT s_suppkey, c_nationkey AS leaf, row_number() OVER (PARTITION BY s_suppkey ORDER BY {GROWN}, c_nationkey) AS n FROM s, m) SELECT s_suppkey, leaf FROM r WHERE n = 1"
-)
-def choose_leaf(spark, sf_dir):
-    m = customers(spark, sf_dir).bounding_box("c_nationkey")
-    s = Points.of(read(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_acctbal", "s_suppkey"])
-    grown = G.enlargement(s.x, G.vector("lo", 2), G.vector("hi", 2))
-    return s.df.crossJoin(search.bounded_broadcast(m)).groupBy("s_suppkey").agg(F.min_by("c_nationkey", F.struct(grown, "c_nationkey")).alias("leaf"))
-
-
 @query(f"WITH {L} SELECT " + ", ".join(f"min(x{i}) AS lo{i}, max(x{i}) AS hi{i}" for i in range(4)) + ", count(*) AS n FROM l")
 def mbr_global(spark, sf_dir):
     return lines(spark, sf_dir).bounding_box()
@@ -134,11 +123,6 @@ def mbr_of_mbrs(spark, sf_dir):
     return m.join(nation, F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_regionkey").agg(*G.bounds_of_boxes(G.vector("lo", 2), G.vector("hi", 2)))
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
-def subtree_count(spark, sf_dir):
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT s_suppkey, s_acctbal >= 0e0 AND s_acctbal + (s_acctbal - 100e0) >= 0e0 AND s_acctbal + (s_acctbal - 100e0) + 50e0 >= 0e0 AS monotone FROM supplier")
 def model_monotone(spark, sf_dir):
     a = F.col("s_acctbal").cast("double")
@@ -155,7 +139,8 @@ def hinge_rows(spark, sf_dir):
 @query(f"WITH {P} SELECT p_partkey, x0 >= 10e0 AS c0, x0 >= 20e0 AS c1, x0 >= 40e0 AS c2 FROM p")
 def comparison_rows(spark, sf_dir):
     p = parts(spark, sf_dir)
-    return p.df.select("p_partkey", *[(F.col("x0") >= F.lit(v)).alias(f"c{i}") for i, v in enumerate((10.0, 20.0, 40.0))])
+    c = G.comparisons(F.col("x0"), F.array(*G.constants((10.0, 20.0, 40.0))))
+    return p.df.select("p_partkey", *[F.element_at(c, i + 1).alias(f"c{i}") for i in range(3)])
 
 
 @query(f"WITH {P}, {B} SELECT bid, p_partkey, x0, x1 FROM p JOIN b ON x0 BETWEEN lo0 AND hi0 AND x1 BETWEEN lo1 AND hi1")
@@ -164,15 +149,6 @@ def box_batch_join(spark, sf_dir):
     return search.batch_boxes(p, boxes_of(spark, sf_dir)).select("bid", "p_partkey", "x0", "x1")
 
 
-@query(f"WITH {Q}, {B}, m AS (SELECT bid, qid, greatest(lo0 - q0, q0 - hi0, 0e0) * greatest(lo0 - q0, q0 - hi0, 0e0) + greatest(lo1 - q1, q1 - hi1, 0e0) * greatest(lo1 - q1, q1 - hi1, 0e0) AS md FROM q, b) SELECT qid, bid, md, CAST(row_number() OVER (PARTITION BY qid ORDER BY md, bid) AS INTEGER) AS place FROM m")
-def branch_order(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    pairs = queries_of(spark, sf_dir).crossJoin(F.broadcast(boxes_of(spark, sf_dir)))
-    pairs = pairs.select("qid", "bid", G.min_distance_squared(G.vector("q", 2), G.vector("lo", 2), G.vector("hi", 2)).alias("md"))
-    return pairs.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("md", "bid")))
-
-
 @query(
     f"WITH {P}, {B}, k AS (SELECT max(d2) AS worst FROM (SELECT {squares(Q2)} AS d2 FROM p ORDER BY d2, p_partkey LIMIT 10)),"
     f" m AS (SELECT bid, greatest(lo0 - {number(Q2[0])}, {number(Q2[0])} - hi0, 0e0) * greatest(lo0 - {number(Q2[0])}, {number(Q2[0])} - hi0, 0e0) + greatest(lo1 - {number(Q2[1])}, {number(Q2[1])} - hi1, 0e0) * greatest(lo1 - {number(Q2[1])}, {number(Q2[1])} - hi1, 0e0) AS md FROM b)"

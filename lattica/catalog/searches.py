@@ -98,16 +98,6 @@ def rtree_insert(spark, sf_dir):
     return tree.nodes.where("parent is null").select("n", "lo0", "lo1", "hi0", "hi1")
 
 
-@query()
-def rtree_box_cost(spark, sf_dir):
-    """Nodes that a search of each box opens, inner ones included, leaves of them, and points tested."""
-    nodes = BoxTree.build(parts(spark, sf_dir)).nodes
-    meets = G.boxes_overlap(G.vector("lo", 2, "n"), G.vector("hi", 2, "n"), G.vector("lo", 2, "b"), G.vector("hi", 2, "b"))
-    opened = nodes.alias("n").join(search.bounded_broadcast(boxes_of(spark, sf_dir)).alias("b"), meets)
-    leaf = F.col("n.is_leaf")
-    return opened.groupBy("b.bid").agg(F.count(F.lit(1)).alias("nodes_visited"), F.count(F.when(leaf, 1)).alias("leaf_pages"), F.sum(F.when(leaf, F.col("n.n")).otherwise(0)).alias("tested"))
-
-
 @query()
 def rtree_nodes(spark, sf_dir):
     """Nodes, entries and heights by level of a tree over all lines."""
@@ -159,10 +149,15 @@ KS = (1, 5, 10, 50)
 def _cells_sql(k: int) -> str:
     near = " + ".join(f"greatest(lo{i} - q{i}, q{i} - hi{i}, 0e0) * greatest(lo{i} - q{i}, q{i} - hi{i}, 0e0)" for i in (0, 1))
     far = " + ".join(f"greatest(abs(q{i} - lo{i}), abs(q{i} - hi{i})) * greatest(abs(q{i} - lo{i}), abs(q{i} - hi{i}))" for i in (0, 1))
+    edge = lambda i, a, b: f"(q{i} - CASE WHEN q{i} >= (lo{i} + hi{i}) / 2 THEN {a}{i} ELSE {b}{i} END)"
+    square = lambda x: f"{x} * {x}"
+    least = f"least({square(edge(0, 'hi', 'lo'))} + {square(edge(1, 'lo', 'hi'))}, {square(edge(0, 'lo', 'hi'))} + {square(edge(1, 'hi', 'lo'))})"
     return (
         f"SELECT CAST({k} AS INTEGER) AS k, avg(c) AS avg_cells, avg(tested) AS avg_rows FROM (SELECT qid, CAST(count(*) AS DOUBLE) AS c, CAST(sum(n) AS DOUBLE) AS tested FROM ("
-        f"SELECT *, min(CASE WHEN held >= {k} THEN mx END) OVER (PARTITION BY qid) AS reach FROM (SELECT *, sum(n) OVER (PARTITION BY qid ORDER BY mx, cell ROWS UNBOUNDED PRECEDING) AS held FROM (SELECT qid, cell, n, {near} AS md, {far} AS mx FROM q, u)))"
-        " WHERE md <= coalesce(reach, 'inf'::DOUBLE) GROUP BY qid)"
+        f"SELECT *, min(CASE WHEN held >= {k} THEN mx END) OVER (PARTITION BY qid) AS by_count, min(CASE WHEN place >= {k} THEN mm END) OVER (PARTITION BY qid) AS by_box FROM ("
+        "SELECT *, sum(n) OVER (PARTITION BY qid ORDER BY mx, cell ROWS UNBOUNDED PRECEDING) AS held, row_number() OVER (PARTITION BY qid ORDER BY mm, cell) AS place FROM ("
+        f"SELECT qid, cell, n, {near} AS md, {far} AS mx, {least} AS mm FROM q, u)))"
+        " WHERE md <= least(coalesce(by_count, 'inf'::DOUBLE), coalesce(by_box, 'inf'::DOUBLE)) * (1 + 1e-12) GROUP BY qid)"
     )
 
 
@@ -175,7 +170,7 @@ def avg_pages_by_k(spark, sf_dir):
     sizes = cells.select("cell", F.col("n").alias("tested"))
 
     def one(k):
-        per = search.candidate_cells(cells, q, k, 2).join(sizes, "cell").groupBy("qid").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("tested").cast("double").alias("tested"))
+        per = search.candidate_cells(cells, q, k, 2, fans=()).join(sizes, "cell").groupBy("qid").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("tested").cast("double").alias("tested"))
         return per.agg(F.lit(k).alias("k"), F.round(F.avg("c"), 6).alias("avg_cells"), F.round(F.avg("tested"), 6).alias("avg_rows"))
 
     return reduce(lambda a, b: a.unionAll(b), map(one, KS))
@@ -234,18 +229,33 @@ def two_means_split(spark, sf_dir):
     return c.df.groupBy("c_nationkey").applyInPandas(one, "c_nationkey int, path string, n bigint")
 
 
-@query()
+def _within(columns, low, high):
+    return F.min(G.all_of([F.col(c).between(low, high) for c in columns]))
+
+
+@query("SELECT count(*) AS n, true AS inside, true AS spread FROM part")
 def synth_uniform(spark, sf_dir):
-    """A made point for every part, within the parts' bounds."""
+    """As many made points as parts: their number, whether all are within the bounds, and whether they fill them evenly."""
     n = read(spark, sf_dir, "part").count()
-    return synthetic.uniform_points(spark, n, 3, 0.0, 100.0)
+    made = synthetic.uniform_points(spark, n, 3, 0.0, 100.0)
+    even = G.all_of([F.abs(F.avg(f"x{i}") - 50) < F.lit(300.0) / F.sqrt(F.count(F.lit(1))) for i in range(3)])
+    return made.agg(F.count(F.lit(1)).alias("n"), _within(("x0", "x1", "x2"), 0.0, 100.0).alias("inside"), even.alias("spread"))
 
 
-@query()
+@query("SELECT CAST(100 AS BIGINT) AS n, true AS placed, true AS sized")
 def synth_qrects(spark, sf_dir):
-    """A hundred made boxes over the parts' bounds."""
+    """A hundred made boxes: their number, and whether corners and sides keep to the parts' bounds."""
     box = parts(spark, sf_dir).bounding_box().first()
-    return synthetic.query_boxes(spark, [box["lo0"], box["lo1"]], [box["hi0"], box["hi1"]])
+    lo, hi = (box["lo0"], box["lo1"]), (box["hi0"], box["hi1"])
+    made = synthetic.query_boxes(spark, lo, hi)
+    sized = G.all_of([(F.col(f"hi{i}") - F.col(f"lo{i}")).between(-1e-9, 0.25 * (hi[i] - lo[i]) + 1e-9) for i in (0, 1)])
+    return made.agg(F.count(F.lit(1)).alias("n"), _within(("lo0", "lo1"), min(lo), max(hi)).alias("placed"), F.min(sized).alias("sized"))
+
+
+@query("SELECT CAST(100 AS BIGINT) AS n, true AS inside")
+def synth_query_points(spark, sf_dir):
+    made = synthetic.query_points(spark, 100, 3, 0.0, 8000.0)
+    return made.agg(F.count(F.lit(1)).alias("n"), _within(("q0", "q1", "q2"), 0.0, 8000.0).alias("inside"))
 
 
 def _image_sql() -> str:

@@ -117,6 +117,11 @@ def hinges(x: Column, breaks: Column) -> Column:
     return F.transform(breaks, lambda b: F.greatest(x - b, F.lit(0.0)))
 
 
+def comparisons(x: Column, constants_: Column) -> Column:
+    """Whether x is no less than each constant."""
+    return F.transform(constants_, lambda c: x >= c)
+
+
 def piecewise(x: Column, alpha: Column, beta: Column) -> Column:
     """alpha[0] + sum of alpha[i + 1] * (x - beta[i]) over breaks up to x."""
     slopes = F.slice(alpha, F.lit(2), F.greatest(F.size(alpha) - 1, F.lit(0)))

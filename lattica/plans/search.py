@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import cmp_to_key, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lattica.functions.geometry import all_of, constants, distance_squared, in_box, min_distance_squared, min_max_distance_squared, vector
 from lattica.operators.grid import Grid
@@ -176,6 +177,35 @@ def branch_order(cells: DataFrame, q: Sequence[float], by: str = "min") -> DataF
     return df.orderBy("md" if by == "min" else "mm")
 
 
+def batch_branch_order(queries: DataFrame, boxes: DataFrame, d: int, by: str = "min") -> DataFrame:
+    """qid, bid, md, mm, place: for each query all boxes, few enough to be sent to the queries, in the order of md or mm."""
+    if not is_small(boxes):
+        raise ValueError("for many boxes come down a hierarchy of them")
+    q, lo, hi = vector("q", d), vector("lo", d), vector("hi", d)
+    pairs = queries.crossJoin(F.broadcast(boxes)).withColumn("md", min_distance_squared(q, lo, hi)).withColumn("mm", min_max_distance_squared(q, lo, hi))
+    return pairs.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("md" if by == "min" else "mm", "bid")))
+
+
+def in_box_order(boxes: DataFrame, d: int) -> DataFrame:
+    """boxes with place, from 0: sorted by box_order() of two at a time, on the driver, which takes BROADCAST_ROWS at most.
+
+    A box comes after another if it does not reach beyond that one's lower corner: where boxes lie along each
+    other this is an order; elsewhere pairs may contradict each other, and the place depends on the input's order.
+    """
+    if not is_small(boxes):
+        raise ValueError("too many boxes to be compared on the driver")
+    rows = boxes.collect()
+
+    def compare(a, b) -> int:
+        reaches = all(a[f"hi{i}"] > b[f"lo{i}"] for i in range(d))
+        back = all(b[f"hi{i}"] > a[f"lo{i}"] for i in range(d))
+        return 0 if reaches == back else 1 if reaches else -1
+
+    ordered = sorted(rows, key=cmp_to_key(compare))
+    schema = StructType([*boxes.schema.fields, StructField("place", LongType())])
+    return boxes.sparkSession.createDataFrame([(*row, i) for i, row in enumerate(ordered)], schema)
+
+
 def prune(branches: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Branches that may still hold a nearest point: all, until found has k rows; then those not beyond its largest d2."""
     worst = found.agg(F.count(F.lit(1)).alias("_n"), F.max("d2").alias("_worst"))
