@@ -26,7 +26,7 @@ from lattica.llm.common import held_out, shuffle_width, slices, small_batches, s
 from lattica.llm.words import A, lower_words, mix, word_hashes
 
 #: For each order from bigrams on, the weight of the shorter history within an n-gram's probability.
-WEIGHTS = (300.0, 10.0)
+WEIGHTS = (300.0,)
 #: Rows of a batch of texts of at most SHORT bytes. Texts up to four times as long go in batches of a quarter of the
 #: rows, and so on: no batch has more than ROWS * SHORT bytes, but for single texts that are longer.
 ROWS, SHORT, KINDS = 2048, 16_384, 7
