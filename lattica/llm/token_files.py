@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import list_array, new_path, shuffle_width, slices, small_batches, table
 from lattica.operators.grid import step_of
 
-#: Remembered words of a worker, before it starts anew.
-MEMO = 1_000_000
+#: Remembered words of a worker before it starts anew; the words before are kept as long again, and those still met stay.
+MEMO = 600_000
 #: Marks that never belong to the same pre-token as a letter or digit before them.
 MARKS = b".,;:!?%&*#$"
 #: Stands between words that are encoded together.
@@ -73,10 +73,25 @@ class WordEncoder:
         # Words are looked up in lower case, where other strings could turn into special ones.
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         ids = self.tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids
         self.between = ids[0] if len(ids) == 1 else -1
+        self.normalizer = self.tokenizer.normalizer
 
     def learn(self, words: list[bytes]) -> None:
+        """Encodes words of ASCII letters in lower case, which the normalizer would leave as they are, without it; others with it."""
+        plain = [w for w in words if w.isascii() and w == w.lower()]
+        if plain and self.normalizer is not None:
+            self.tokenizer.normalizer = None
+            try:
+                self.learn_alike(plain)
+            finally:
+                self.tokenizer.normalizer = self.normalizer
+            words = [w for w in words if w not in self.memo]
+        if words:
+            self.learn_alike(words)
+
+    def learn_alike(self, words: list[bytes]) -> None:
         """Encodes words at once, with a mark between them that is a token of its own, or else one by one."""
         data = BETWEEN.join(words)
         if data.count(BETWEEN) == len(words) - 1:
@@ -99,9 +114,9 @@ class WordEncoder:
 
     def packed(self, texts: list[str | bytes | None], end_id: int | None) -> list[bytes]:
         """Each text's ids and the end's, if any, as little-endian 32-bit integers. Texts may be given in UTF-8."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, found, waiting, fresh = self.memo, [], [], set()
+        if len(self.memo) > MEMO and end_id is not None:  # not in the middle of a text
+            self.memo, self.before = {}, self.memo
+        memo, before, found, waiting, fresh = self.memo, self.before, [], [], set()
         for text in texts:
             data = text if isinstance(text, bytes) else (text or "").encode()
             if any(x in data for x in self.special):
@@ -123,6 +138,13 @@ class WordEncoder:
             for _ in range(own.count(None)):
                 i = own.index(None, i + 1)
                 word = words[i]
+                if before and (known := before.get(word)) is not None:
+                    own[i] = memo[word] = known
+                    continue
+                if word[-1] not in MARKS:
+                    waiting.append((own, i, word, b""))
+                    fresh.add(word)
+                    continue
                 body = word.rstrip(MARKS)
                 if len(body) == len(word) or not body[-4:].decode(errors="ignore").lower()[-1:].isalnum():
                     body = word

@@ -27,6 +27,18 @@ def test_same_ids_as_the_library(texts):
     assert [x.tolist() for x in ENCODER.encode(texts, 2)] == [expected(t) for t in texts]
 
 
+def test_memo_starts_anew(monkeypatch):
+    """Words of the memo before are found, also around special tokens."""
+    from lattica.llm import token_files
+
+    monkeypatch.setattr(token_files, "MEMO", 20)
+    encoder = WordEncoder(PATH)
+    for start in range(0, 300, 3):
+        texts = [f"Word{i % 40}, other{i} <|endoftext|> É{i % 7} word{i % 40}. and" for i in range(start, start + 3)]
+        assert [x.tolist() for x in encoder.encode(texts, 2)] == [expected(t) for t in texts]
+    assert len(encoder.memo) + len(encoder.before) < 80
+
+
 def test_special_tokens():
     texts = ["a <|endoftext|> b", "A<|startoftext|>B<|endoftext|><|endoftext|>", "<|EndOfText|>", "<|endoftext|>\u0338x", "x" * 50 + "<|endoftext|"]
     assert [x.tolist() for x in ENCODER.encode(texts, 2)] == [expected(t) for t in texts]
