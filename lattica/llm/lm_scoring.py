@@ -30,8 +30,8 @@ WEIGHTS = (300.0,)
 #: Rows of a batch of texts of at most SHORT bytes. Texts up to four times as long go in batches of a quarter of the
 #: rows, and so on: no batch has more than ROWS * SHORT bytes, but for single texts that are longer.
 ROWS, SHORT, KINDS = 2048, 16_384, 7
-#: Bytes of input for each shard of counts; a worker holds one shard at a time.
-SHARD_BYTES = 32 << 20
+#: Bytes of input for each shard of counts, and partitions at most; a worker holds one shard, or one batch, at a time.
+SHARD_BYTES, PARTS = 32 << 20, 50_000
 #: Stand for the start and the end of a text.
 START, END = np.uint64(0x5BD1E995A3B1C7D1), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -310,10 +310,11 @@ def score_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shard
     read twice, or written first where it isn't a table of files; an empty table gives no rows.
     """
     spark = small_batches(docs).sparkSession
-    parts, order = shuffle_width(spark), len(weights) + 1
+    width, order = shuffle_width(spark), len(weights) + 1
     docs = docs.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
     batched = batches_of(docs)
-    shards = shards or max(parts, -(-input_bytes(batched) // SHARD_BYTES))
+    shards = shards or max(width, -(-input_bytes(batched) // SHARD_BYTES))
+    parts = min(shards, max(width, PARTS))
     answered = stash(answers(requests(batched, shards, order), shards, parts), "lm-counts", compression="zstd")
     sums = answered.where("batch is null").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     types, total = int(sums["types"] or 0), int(sums["tokens"] or 0)
@@ -340,7 +341,10 @@ def score_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shard
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": sizes, "n_known": known, "base_score": base, "score": score})
 
     asked = answered.where("batch is not null").select("batch", "piece", "shard", "word_counts", "ngram_counts")
-    joined = batched.select("doc_id", "held_out", "text", "batch", "at").groupBy("batch").cogroup(asked.groupBy("batch"))
+    texts = batched.select("doc_id", "held_out", "text", "batch", "at")
+    if parts > width:  # more of both than the session's partitions are meant for
+        texts, asked = texts.repartition(parts, "batch"), asked.repartition(parts, "batch")
+    joined = texts.groupBy("batch").cogroup(asked.groupBy("batch"))
     scored = joined.applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
