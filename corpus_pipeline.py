@@ -31,11 +31,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return learn_and_score(docs, table(spark, sf_dir, "labels"), QUALITY).where("predicted = 1").select(*docs.columns)
 
 
-def row_key(docs: DataFrame) -> DataFrame:
-    """docs with row_key, 128 bits of hash that rows alike in all columns share."""
+def named(docs: DataFrame) -> DataFrame:
+    """docs with own and more: 128 bits of hash that rows alike in all columns share."""
     # Hashes pass over nulls, so which columns are null is hashed too.
     nulls = [F.col(c).isNull() for c in docs.columns]
-    return docs.withColumn("row_key", F.struct(F.xxhash64(*nulls, *docs.columns).alias("a"), F.xxhash64(*docs.columns, *nulls).alias("b")))
+    return docs.select("*", F.xxhash64(*nulls, *docs.columns).alias("own"), F.xxhash64(*docs.columns, *nulls).alias("more"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,23 +45,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     or not its id is null or repeats. Rows alike in all columns are one. Rows without words link with nothing.
     """
     ship(spark)
-    keyed = row_key(docs).withColumn("own", F.col("row_key.a"))
+    keyed = named(docs)
     found = jaccard_components(keyed.select(F.col("own").alias("doc_id"), "text"), SHINGLE, SIMILAR)
     groups = found.select(F.col("doc_id").alias("own"), F.col("component_id").alias("near")).distinct()
     ids = keyed.select("own", "doc_id").distinct()
-    kept = groups.join(ids, "own").groupBy("near").agg(F.min_by("own", F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("own")).select("own")
-    first = keyed.groupBy("row_key").agg(F.first(F.struct(*docs.columns)).alias("row"), F.first("own").alias("own"))
-    return first.join(kept, "own", "left_semi").select("row.*")
+    kept = stash(groups.join(ids, "own").groupBy("near").agg(F.min_by("own", F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("own")).select("own"), "kept")
+    # One shuffle of texts, by own, serves the join and the dropping of alike rows.
+    rows = keyed.select("own", "more", F.struct(*docs.columns).alias("row")).join(kept.hint("merge"), "own", "left_semi")
+    return rows.groupBy("own", "more").agg(F.first("row").alias("row")).select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix of the sources takes it; rows alike in all columns count each for itself."""
     ship(spark)
-    keyed = row_key(docs)
-    sized = stash(word_sizes(keyed, key="row_key"), "sizes")
-    times = mix(sized).where("times > 0").groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("times").cast("int").alias("times"))
-    rows = keyed.groupBy("row_key").agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return rows.join(times, "row_key").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
+    keyed = named(docs)
+    sized = stash(word_sizes(keyed.withColumn("row_key", F.struct("own", "more")), key="row_key"), "sizes")
+    times = mix(sized).where("times > 0").groupBy("doc_id.own", "doc_id.more").agg(F.sum("times").cast("int").alias("times"))
+    times = stash(times, "times")
+    rows = keyed.select("own", "more", F.struct(*docs.columns).alias("row")).join(times.hint("merge"), ["own", "more"])
+    alike = rows.groupBy("own", "more").agg(F.first("row").alias("row"), F.first("times").alias("times"))
+    return alike.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
