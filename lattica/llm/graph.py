@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import stash
 
 #: Keys that hold more than this share of all rows are heavy: so there are never more of them than its inverse.
-SHARE, FEW = 500, 100
+SHARE, FEW = 500, 2000
 
 
 def join_least(rows: DataFrame, least: DataFrame, key: str, limit: int) -> DataFrame:
