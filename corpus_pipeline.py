@@ -68,7 +68,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the ids of its text, their number and the digest of the text decoded from them, for each row."""
+    """doc_id, the ids of its text, their number and the digest of the text decoded from them, for each row.
+
+    Rows are answered by themselves, whether ids are null or repeat; a null text counts as empty. An empty table
+    gives no rows.
+    """
     import public_tokenizers
 
     ship(spark)
@@ -84,7 +88,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written and read again."""
+    """All stages over documents; each stage's result is written and read again.
+
+    What becomes of nulls, repeated rows, odd texts and empty tables is said with each stage; none of them ends a run.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name.split()[0])
