@@ -32,6 +32,8 @@ GAP = re.compile(rb"\s\s|\A\s|\s\Z")
 SPACE = re.compile(rb"(?<=\S) (?=\S)")
 LINE = re.compile(rb"(?<=\S)\n(?=\S)")
 BORDER = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,;:!?%&*#$|])")
+#: Fixed value: the one pattern whose matches are known not to reach across such places.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +55,7 @@ class ByteBPE:
             self.bytes_of[i] = token
         self.size_of = list(map(len, self.bytes_of))
         self.find = regex.compile(pattern).findall
+        self.may_cut = pattern == CUT_PATTERN
         self.odd_space = ODD_SPACE.search
         self.gap = GAP.search
         self.trie = ahocorasick.Automaton()
@@ -163,9 +166,10 @@ class ByteBPE:
 
         The text is cut where no match of the pattern reaches across, and what pieces encode to is remembered:
         before a space and around a line break that stand between other characters, and between a letter or
-        digit and a mark. Texts with white space beyond ASCII are matched as a whole.
+        digit and a mark. Texts with white space beyond ASCII, and all texts where the pattern is another one, are
+        matched as a whole.
         """
-        if self.odd_space(text):
+        if not self.may_cut or self.odd_space(text):
             pieces = [x.encode() for x in self.find(text)]
         else:
             data = text.encode()

@@ -127,7 +127,11 @@ def mark_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def write_archives(marked: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes the records and returns the manifest: file, records, bytes. Tasks hold one record at a time."""
+    """Writes the records and returns the manifest: file, records, bytes. Tasks hold one record at a time.
+
+    A null url or body is written as empty, a null page_id as a record without one; rows that repeat are records of
+    their own, and other columns are left out. An empty table writes no file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = pyarrow.fs.FileSystem.from_uri(path)
@@ -155,7 +159,11 @@ def write_archives(marked: DataFrame, path: str, date: str = "2024-01-01T00:00:0
 
 
 def read_archives(manifest: DataFrame, path: str) -> DataFrame:
-    """A row for each record: page_id, url, payload_bytes, payload_digest (both of the full payload), record_type, refers_to."""
+    """A row for each record: page_id, url, payload_bytes, payload_digest (both of the full payload), record_type, refers_to.
+
+    Records that repeat are rows of their own; an empty manifest gives no rows. A digest that isn't the payload's,
+    or a record whose frame is broken, is an error.
+    """
     fields = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def number(text: str | None) -> int | None:

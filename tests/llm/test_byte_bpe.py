@@ -26,6 +26,15 @@ def test_same_ids_as_the_library(text):
     assert BPE.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("pattern", [r"\S+\s*|\s+", r"[\s\S]{1,7}", r"\p{L}+\p{P}?|[^\p{L}]+"])
+def test_other_patterns(pattern):
+    """No cuts but the pattern's own: these matches reach across spaces and marks."""
+    mine, theirs = ByteBPE(RANKS, pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    assert BPE.may_cut and not mine.may_cut
+    for text in ("one two, three.four\nfive", "a. b", "the end of  it!? yes"):
+        assert mine.encode(text).tolist() == theirs.encode_ordinary(text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.binary(min_size=1, max_size=60))
 def test_pieces_by_plain_merging(piece):
