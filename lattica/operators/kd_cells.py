@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.functions.geometry import bounds, vector
+from lattica.functions.geometry import all_of, bounds, vector
 from lattica.operators.points import Points
 from lattica.operators.ranking import global_rank
+from lattica.plans.descend import hierarchy, met_nodes
 from lattica.sources.shared import bounded_broadcast, stash
 
 #: Rows of a node up to which one task ranks it; larger ones are ranked over range partitions, with the same ranks.
@@ -102,10 +103,14 @@ def kd_cells(nodes: DataFrame, d: int, border_eps: float = 0.01) -> tuple[DataFr
 def order_violations(cells: DataFrame, d: int) -> DataFrame:
     """Pairs of cells, later before earlier in every dimension: all(lo_later < hi_earlier).
 
-    A check for numberings from elsewhere: kd_cells() has no such pair.
+    A check for numberings from elsewhere: kd_cells() has no such pair. Each cell comes down a hierarchy of runs of
+    cells, with the number as one more dimension, so in a good order it meets little but the runs that it is in.
     """
-    a, b = cells.alias("a"), cells.alias("b")
-    below = F.lit(True)
-    for i in range(d):
-        below = below & (F.col(f"a.lo{i}") < F.col(f"b.hi{i}"))
-    return a.join(b, (F.col("b.cell") < F.col("a.cell")) & below).select(F.col("a.cell").alias("later"), F.col("b.cell").alias("earlier"))
+    number = F.col("cell").cast("double")
+    boxes = cells.select("cell", *vector("lo", d), *vector("hi", d), number.alias(f"lo{d}"), number.alias(f"hi{d}"), F.lit(1).alias("n"))
+
+    def later_yet_before(lo1, hi1, lo2, hi2):
+        return all_of([a < b for a, b in zip(lo2[:d], hi1[:d], strict=True)]) & (hi2[d] > lo1[d])
+
+    pairs = met_nodes(boxes.withColumnRenamed("cell", "bid"), hierarchy(boxes, d + 1), d + 1, later_yet_before)
+    return pairs.select(F.col("node").cast(cells.schema["cell"].dataType).alias("later"), F.col("bid").alias("earlier"))

@@ -7,9 +7,9 @@ looked at. So no level is ever joined as a whole with all queries.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,14 +73,18 @@ def near_nodes(queries: DataFrame, levels: Sequence[DataFrame], k: int, d: int)
     return last.drop("reach")
 
 
-def met_nodes(boxes: DataFrame, levels: Sequence[DataFrame], d: int) -> DataFrame:
-    """bid, a0.., b0.. (the box) and node: the nodes of the last level that each box meets. boxes: bid, lo0.., hi0.. ."""
+def met_nodes(boxes: DataFrame, levels: Sequence[DataFrame], d: int, meets: Callable[..., Column] = boxes_overlap) -> DataFrame:
+    """bid, a0.., b0.. (the box) and node: the nodes of the last level that each box meets. boxes: bid, lo0.., hi0.. .
+
+    meets: a condition on the corners of the box and of a node, in this order, that holds for a node wherever it
+    holds for one below it.
+    """
     a, b = vector("a", d), vector("b", d)
     asked = boxes.select("bid", *[F.col(f"lo{i}").alias(f"a{i}") for i in range(d)], *[F.col(f"hi{i}").alias(f"b{i}") for i in range(d)])
     found = None
     for level in levels:
         pairs = _next(found, asked, level, d, "bid")
-        found = pairs.where(boxes_overlap(a, b, vector("lo", d), vector("hi", d))).select("bid", *a, *b, "node")
+        found = pairs.where(meets(a, b, vector("lo", d), vector("hi", d))).select("bid", *a, *b, "node")
     return found
 
 

@@ -134,7 +134,26 @@ def test_kd_leaves(spark):
     assert sum(sizes) == 333 and max(sizes) <= 20
     df, cells = kd_cells(nodes, 2)
     assert df.where(F.floor("mapping") != F.col("cell")).count() == 0
-    assert order_violations(cells, 2).count() >= 0
+    assert order_violations(cells, 2).count() == 0
+
+
+def test_order_violations(spark):
+    """A numbering at random against all pairs; numbers with gaps, sides that touch, and a numbering in order."""
+    draw = np.random.default_rng(5)
+    lo = draw.integers(0, 60, size=(700, 2)).astype(float)
+    hi = lo + draw.integers(0, 3, size=(700, 2))
+    number = np.sort(draw.choice(5000, 700, replace=False))
+    rows = [(int(c), *map(float, a), *map(float, b)) for c, a, b in zip(number, lo, hi, strict=True)]
+    schema = "cell int, lo0 double, lo1 double, hi0 double, hi1 double"
+    found = order_violations(spark.createDataFrame(rows, schema), 2)
+    assert found.dtypes == [("later", "int"), ("earlier", "int")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") <= 2  # the few runs at the top
+    later, earlier = np.nonzero((lo[:, None] < hi[None, :]).all(2) & (number[:, None] > number[None, :]))
+    assert sorted(map(tuple, found.collect())) == sorted(zip(number[later].tolist(), number[earlier].tolist(), strict=True))
+    strip = spark.createDataFrame([(i, float(i), 0.0, float(i + 1), 1.0) for i in range(2000)], schema)
+    assert order_violations(strip, 2).count() == 0
+    assert order_violations(strip.where("cell < 0"), 2).count() == 0
 
 
 def test_empty(spark, asked):
