@@ -132,3 +132,36 @@ def test_query(spark):
     assert len(found) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     rows = found[found.held_out].merge(labels, on="doc_id")
     assert (rows.predicted == rows.quality).mean() >= 0.93
+
+
+def test_query_against_all_labellings(spark, tmp_path):
+    """The query's scores by summing over every labelling of each text's lines, with the weights that it learns."""
+    texts = {i: good(i) if i % 3 else bad(i) for i in range(120)} | {120: "", 121: None, 122: " \n ", 123: good(1) + "\n" + bad(2)}
+    docs = spark.createDataFrame([*texts.items(), (7, texts[9])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    field = learn(docs.where(~docs.doc_id.isin([i for i in texts if held(i)])), labels)
+
+    def brute(text):
+        lines = line_features([(text or "").encode()])
+        n = len(lines.x)
+        if not n:
+            return field.base
+        x = np.vstack([np.zeros(lines.x.shape[1]), (lines.x - field.mean) / field.scale, np.zeros(lines.x.shape[1])])
+        own = [np.concatenate([x[i], [1.0], x[i - 1], x[i + 1]]) @ field.weights for i in range(1, n + 1)]
+        total, fine = 0.0, np.zeros(n)
+        for y in itertools.product((0, 1), repeat=n):
+            weight = np.exp(sum(own[i] for i in range(n) if y[i]) + sum(field.steps[a, b] for a, b in itertools.pairwise(y)))
+            total, fine = total + weight, fine + weight * np.array(y)
+        share = min(max(float(lines.length @ (fine / total) / lines.length.sum()), 1e-4), 1 - 1e-4)
+        a, b = field.curve
+        return float(sigmoid(a * np.log(share / (1 - share)) + b))
+
+    assert field.weights is not None
+    found = sorted((r["doc_id"], r["held_out"], r["score"], r["predicted"]) for r in op9_quality_crf(spark, str(tmp_path)).collect())
+    expected = sorted((i, held(i), brute(t)) for i, t in [*texts.items(), (7, texts[9])])
+    assert [r[:2] for r in found] == [r[:2] for r in expected]
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in expected], abs=1e-9)
+    assert all(p == int(s >= 0.7) for _, _, s, p in found)
