@@ -43,13 +43,13 @@ def split_level(df: DataFrame, x: str, key: tuple[str, ...], leaf: int, exact: i
     return halved.withColumn("node", F.when(split, 2 * F.col("node") + F.col("_right")).otherwise(F.col("node"))).drop("_n", "_right")
 
 
-def split_rows(node: int, level: int, x: np.ndarray, leaf: int) -> np.ndarray:
+def split_rows(node: int, level: int, x: np.ndarray, leaf: int, levels: int | None = None) -> np.ndarray:
     """The leaf of each row, given the node that holds them all and its level; rows in the order of their keys."""
     nodes = np.full(len(x), node, np.int64)
     work = [(np.arange(len(x)), level)]
     while work:
         rows, depth = work.pop()
-        if len(rows) <= leaf:
+        if len(rows) <= leaf or depth == levels:
             continue
         order = rows[np.argsort(x[rows, depth % x.shape[1]], kind="stable")]
         half = -(-len(order) // 2)
@@ -59,16 +59,18 @@ def split_rows(node: int, level: int, x: np.ndarray, leaf: int) -> np.ndarray:
     return nodes
 
 
-def kd_nodes(points: Points, leaf: int, task_rows: int = TASK_ROWS) -> DataFrame:
+def kd_nodes(points: Points, leaf: int, task_rows: int = TASK_ROWS, levels: int | None = None) -> DataFrame:
     """The points with node, a leaf of at most `leaf` points (1 is the root); dimensions take turns.
 
+    levels: how often a node is halved at most, for trees of a given depth; leaves that deep have any number of points.
+
     Nodes are halved by exact rank, ties by the key, so a node of points that are all alike is halved like any other,
     and the depth is that of N / leaf. Nodes of more than task_rows points are halved level by level over all tasks;
     then each is one task's work, down to its leaves: one shuffle, however many levels are left.
     """
     df, level, d = points.df.withColumn("node", F.lit(1).cast("long")), 0, points.d
     large = max(task_rows, leaf)
-    while df.groupBy("node").count().where(F.col("count") > large).limit(1).count():
+    while level != levels and df.groupBy("node").count().where(F.col("count") > large).limit(1).count():
         df = stash(split_level(df, f"x{level % d}", points.key, large), "kd-level")
         level += 1
     key, names = list(points.key), df.columns
@@ -77,9 +79,13 @@ def kd_nodes(points: Points, leaf: int, task_rows: int = TASK_ROWS) -> DataFrame
         rows = rows.sort_values(key)
         node = int(rows["node"].iloc[0])
         x = rows[[f"x{i}" for i in range(d)]].to_numpy(float)
-        return rows.assign(node=split_rows(node, node.bit_length() - 1, x, leaf))[names]
+        return rows.assign(node=split_rows(node, node.bit_length() - 1, x, leaf, levels))[names]
 
-    return stash(df.groupBy("node").applyInPandas(one, df.schema), "kd-leaves")
+    if level != levels:
+        return stash(df.groupBy("node").applyInPandas(one, df.schema), "kd-leaves")
+    # Leaves of the last level can have more points than a task takes, and aren't split.
+    deep = F.col("node") >= F.lit(1 << levels)
+    return stash(df.where(~deep).groupBy("node").applyInPandas(one, df.schema).unionByName(df.where(deep)), "kd-leaves")
 
 
 def kd_cells(nodes: DataFrame, d: int, border_eps: float = 0.01) -> tuple[DataFrame, DataFrame]:
