@@ -92,9 +92,9 @@ class LearnedIndex:
         return cls.over(points.with_df(placed), grid.frames(grid.occupied(placed)), grid.n_cells, parts, breaks, psi, model, grid)
 
     @classmethod
-    def build_kd(cls, points: Points, leaf: int, parts: int | None = None, breaks: int = 10, psi: int = 50, border_eps: float = 0.01, model: tuple | None = None) -> LearnedIndex:
-        """Over the leaves of a KD-tree."""
-        df, cells = kd_cells(kd_nodes(points, leaf), points.d, border_eps)
+    def build_kd(cls, points: Points, leaf: int, parts: int | None = None, breaks: int = 10, psi: int = 50, border_eps: float = 0.01, model: tuple | None = None, levels: int | None = None) -> LearnedIndex:
+        """Over the leaves of a KD-tree, of `levels` levels at most."""
+        df, cells = kd_cells(kd_nodes(points, leaf, levels=levels), points.d, border_eps)
         frames = [F.col(f"lo{i}").alias(f"flo{i}") for i in range(points.d)] + [(F.col(f"hi{i}") + F.lit(border_eps)).alias(f"fhi{i}") for i in range(points.d)]
         return cls.over(points.with_df(df), cells.select("*", *frames), cells.count(), parts, breaks, psi, model)
 

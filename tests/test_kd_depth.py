@@ -36,6 +36,10 @@ def test_leaf_split(spark, deep, monkeypatch):
     same(spark, deep, monkeypatch, "kd_leaf_split")
 
 
+def test_learned_partitions(spark, deep, monkeypatch):
+    same(spark, deep, monkeypatch, "kd_learned_partitions")
+
+
 @pytest.mark.parametrize("levels", [0, 2, 4, 9])
 def test_levels_are_the_same_however_they_are_made(spark, deep, levels):
     """Whether the last level is reached over all tasks or in one, no point is lost and no node is deeper."""
