@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.functions.geometry import boxes_overlap, bounds, constants, distance_squared, in_box, vector
+from lattica.functions.geometry import boxes_overlap, bounds, constants, in_box, vector
 from lattica.operators.grid import Grid
 from lattica.operators.kd_cells import kd_cells, kd_nodes
 from lattica.operators.points import Points
 from lattica.operators.rank_model import predicted, shards_between, train
 from lattica.operators.ranking import equal_parts, global_rank
 from lattica.plans.descend import hierarchy, met_nodes, near_nodes
-from lattica.plans.search import top_k
+from lattica.plans.search import nearest_in_groups
 from lattica.sources.shared import bounded_broadcast, salted_join, split_join, stash
 
 #: Points of a partition, where their number isn't given; and of those partitions at least.
@@ -218,9 +218,7 @@ class LearnedIndex:
 
     def nearest(self, queries: DataFrame, k: int, fans: Sequence[int] | None = None) -> DataFrame:
         """Each query's k nearest with d2 and rn, from the shards' boxes within reach alone. queries: qid, q0.. ."""
-        near = self.near_rects(queries, k, fans).drop("n", "page_lo", "page_hi")
-        pairs = split_join(self.points, near, ["part", "shard", "cell"], self.rects.select("part", "shard", "cell", "n"), self.key)
-        return top_k(pairs.withColumn("d2", distance_squared(self.x, vector("q", self.d))), "qid", self.key, k)
+        return nearest_in_groups(Points(self.points, self.key, self.d), self.near_rects(queries, k, fans), k, ["part", "shard", "cell"], self.rects.select("part", "shard", "cell", "n"))
 
     def nearest_costs(self, queries: DataFrame, k: int, fans: Sequence[int] | None = None) -> DataFrame:
         """qid, rects, tested, pages: boxes of shards within reach, their points, and the distinct pages that these lie in."""

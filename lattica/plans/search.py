@@ -7,16 +7,17 @@ from functools import cmp_to_key, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lattica.functions.geometry import all_of, constants, distance_squared, in_box, min_distance_squared, min_max_distance_squared, vector
 from lattica.operators.grid import Grid
 from lattica.operators.points import Points
 from lattica.plans.descend import hierarchy, near_nodes
-from lattica.sources.shared import BROADCAST_ROWS, is_small, shuffle_width, split_join
+from lattica.sources.shared import BROADCAST_ROWS, is_small, shuffle_width, split_join, split_sides, stash
 
 #: Queries of a block, pairs of query and neighbour that a task gives at a time, points that it takes at a time.
 QUERY_BLOCK, PAIR_ROWS, SCAN_ROWS = 20_000, 1_000_000, 65_536
@@ -96,7 +97,7 @@ def _nearest_of(x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
             d2 += gap * gap
         if len(x) > k:
             cut = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
-            row, place = np.nonzero(d2 <= cut)
+            row, place = np.nonzero(~(d2 > cut))  # also where d2 is NaN, which comes last
         else:
             row, place = (v.ravel() for v in np.indices(d2.shape))
         far = d2[row, place]
@@ -151,6 +152,34 @@ def batch_nearest(points: Points, queries: DataFrame, k: int, block: int = QUERY
     return top_k(reduce(DataFrame.unionAll, lists), "qid", points.key, k)
 
 
+def nearest_in_groups(points: Points, near: DataFrame, k: int, on: list[str], sizes: DataFrame) -> DataFrame:
+    """Each query's k nearest among the groups that it asks for: the points' columns, qid, q0.., d2 and rn.
+
+    near: qid, q0.. and the columns `on` of a group; sizes: `on` and n, the points of each group. A group's queries
+    meet its points in one task, in matrices of bounded size, and only k points of each query go on: the pairs, which
+    grow with both tables, are never rows. Groups of many points or queries are cut into pieces that all meet.
+    """
+    axes = [f"q{i}" for i in range(points.d)]
+    near = stash(near.select("qid", *axes, *on), "near")
+    asked = near.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    dealt, copies, first = split_sides(points.df, near, on, sizes, points.key)
+    copies, dealt, second = split_sides(copies, dealt, on, asked, ["qid"], max(1, min(QUERY_BLOCK, PAIR_ROWS // k)), "_block")
+    by = [*first, *second[len(on) :]]
+    names, order = points.df.columns, [(c, "ascending") for c in points.key]
+
+    def one(rows: pa.Table, asking: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, order, null_placement="at_start")).select(names)
+        x = np.stack([rows.column(f"x{i}").to_numpy() for i in range(len(axes))], 1).reshape(-1, len(axes))
+        q = np.stack([asking.column(c).to_numpy().astype(float) for c in axes], 1).reshape(-1, len(axes))
+        unknown = np.isnan(q).any(1)  # nulls: no box is near to a NaN
+        row, place, far = _nearest_of(x, q, k) if len(x) and len(q) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        asking, found = asking.select(["qid", *axes]).take(pa.array(row)), rows.take(pa.array(place))
+        return pa.table([*found.columns, *asking.columns, pa.array(far, mask=unknown[row])], names=[*names, "qid", *axes, "d2"])
+
+    schema = StructType([*points.df.schema.fields, *near.select("qid", *axes).schema.fields, StructField("d2", DoubleType())])
+    return top_k(dealt.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(one, schema), "qid", points.key, k)
+
+
 def candidate_cells(cells: DataFrame, queries: DataFrame, k: int, d: int, cell: str = "cell", fans: Sequence[int] | None = None) -> DataFrame:
     """qid, q0.., cell, md: for each query the cells that can hold one of its k nearest, found by descent.
 

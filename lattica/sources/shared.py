@@ -76,18 +76,24 @@ def salted_join(rows: DataFrame, table: DataFrame, on: list[str], spread: Sequen
     return salted.join(copies, [*on, "_salt"]).drop("_salt")
 
 
-def split_join(points: DataFrame, asked: DataFrame, on: list[str], sizes: DataFrame, key: Sequence[str], rows: int = 50_000) -> DataFrame:
-    """points joined with what asks for their groups, groups of more than `rows` points in several pieces.
+def split_sides(points: DataFrame, asked: DataFrame, on: list[str], sizes: DataFrame, key: Sequence[str], rows: int = 50_000, piece: str = "_piece") -> tuple[DataFrame, DataFrame, list[str]]:
+    """points, what asks for their groups, and the columns that they meet by: groups of more than `rows` points in several pieces.
 
     sizes: the columns `on` and n, the points of each group. A large group's points are dealt to pieces by a hash of
     their key, and every request for it goes to each of its pieces. There are at most N / rows such groups.
     """
     heavy = sizes.where(F.col("n") > rows).select(*on, F.ceil(F.col("n") / rows).cast("int").alias("_pieces"))
     if not heavy.limit(1).count():
-        return points.join(asked, on)
+        return points, asked, list(on)
     heavy = bounded_broadcast(heavy)
-    piece = F.when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(*key), F.col("_pieces")).cast("int"))
-    dealt = points.join(heavy, on, "left").withColumn("_piece", piece).drop("_pieces")
+    own = F.when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(*key), F.col("_pieces")).cast("int"))
+    dealt = points.join(heavy, on, "left").withColumn(piece, own).drop("_pieces")
     pieces = F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)
-    copies = asked.join(heavy, on, "left").withColumn("_piece", F.explode(pieces)).drop("_pieces")
-    return dealt.join(copies, [*on, "_piece"]).drop("_piece")
+    copies = asked.join(heavy, on, "left").withColumn(piece, F.explode(pieces)).drop("_pieces")
+    return dealt, copies, [*on, piece]
+
+
+def split_join(points: DataFrame, asked: DataFrame, on: list[str], sizes: DataFrame, key: Sequence[str], rows: int = 50_000) -> DataFrame:
+    """points joined with what asks for their groups, groups of more than `rows` points in several pieces."""
+    dealt, copies, by = split_sides(points, asked, on, sizes, key, rows)
+    return dealt.join(copies, by).drop("_piece")
