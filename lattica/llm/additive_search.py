@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.llm.common import small_batches, stash, table
-from lattica.llm.tiles import best_of, by_length, finite, search, stacked, vectors
+from lattica.llm.shards import best_of, by_length, finite, search, stacked, vectors
 
 #: Rows that codebooks are fitted on, at most.
 SAMPLE = 16_384

@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import table
-from lattica.llm.tiles import best_of, by_length, finite, search, stacked, vectors
-
-#: Queries of one product within a tile.
-STRIP = 256
+from lattica.llm.tiles import Chunk, by_length, dealt, finite, narrowed, search, stacked, vectors
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles or longs where every sum fits, else in Python's integers, held to a long's range."""
-    most = max(1, int(abs(q).max(initial=0))) * max(1, int(abs(c).max(initial=0))) * q.shape[1]
-    if most < 1 << 53:
-        return (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
-    if most < 1 << 63:
-        return q @ c.T
-    big = (1 << 63) - 1
-    return np.array([[max(-big, min(big, sum(a * b for a, b in zip(x, y, strict=True)))) for y in c.tolist()] for x in q.tolist()], np.int64).reshape(len(q), len(c))
+    """Exact inner products: in floats, doubles or longs where every sum fits, else in Python's integers, held to a long's range."""
+    most = q.shape[1]
+    for x in (q, c):
+        most *= max(1, -int(x.min(initial=0)), int(x.max(initial=0)))
+    for bits, kind in ((24, np.float32), (53, np.float64), (63, np.int64)):
+        if most < 1 << bits:
+            return q.astype(kind, copy=False) @ c.T.astype(kind, copy=False)
+    big, (q, c) = (1 << 63) - 1, (x.astype(np.int64).tolist() for x in (q, c))
+    return np.array([[max(-big, min(big, sum(a * b for a, b in zip(x, y, strict=True)))) for y in c] for x in q], np.int64).reshape(len(q), len(c))
 
 
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
@@ -37,27 +33,25 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
 
-    def tile(queries: pa.StructArray, candidates: pa.StructArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        q_ids, c_ids = (x.field("vec_id").to_numpy() for x in (queries, candidates))
-        (q_sizes, q_values), (c_sizes, c_values) = vectors(queries), vectors(candidates)
-        of_length = by_length(c_sizes)
-        for n, rows in by_length(q_sizes).items():
-            if n not in of_length:
-                continue
-            others, ids = stacked(c_sizes, c_values, of_length[n], n), c_ids[of_length[n]]
-            for at in range(0, len(rows), STRIP):
-                strip = rows[at : at + STRIP]
-                scores = -products(stacked(q_sizes, q_values, strip, n), others)
-                for row, own in zip(strip, scores, strict=True):
-                    apart = np.flatnonzero(ids != q_ids[row])
-                    if len(apart) < len(ids):
-                        best = apart[best_of(own[apart], ids[apart], k)]
-                    else:
-                        best = best_of(own, ids, k)
-                    yield int(row), own[best], ids[best]
+    def read(batch: pa.RecordBatch) -> Chunk:
+        # Rows alike are one.
+        _, new = np.unique(batch.column("row").to_numpy(), return_index=True)
+        batch = batch.take(pa.array(new))
+        ids, (lengths, values) = batch.column("vec_id").to_numpy(), vectors(batch.column("v"))
+        # Floats hold small integers exactly, and need not be made again for each product.
+        values = narrowed(values)
+        values = values.astype(np.float32) if values.dtype == np.int16 else values
+        groups = {n: (rows, stacked(lengths, values, rows, n)) for n, rows in by_length(lengths).items()}
+        return Chunk(ids, ids, np.ones(len(ids), bool), batch.column("row").to_numpy(), groups)
 
     asked = queries.where(good).select("vec_id", "v", F.xxhash64("v").alias("qkey"))
-    return search(asked, candidates.where(good).select("vec_id", "v"), tile, "bigint", k).select("query_id", "rank", "vec_id", (-F.col("key")).alias("score"))
+    rows = candidates.where(good).select("vec_id", "v", F.xxhash64("vec_id", "v").alias("row"))
+    blocks = dealt(asked)
+    lists = search(blocks, rows, read, lambda q, c: np.negative(found := products(c, q), out=found), "bigint", k)
+    for block in blocks:
+        block.destroy()
+    ranked = lists.select("query_id", F.posexplode("top").alias("at", "found"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("found.vec_id").alias("vec_id"), (-F.col("found.key")).alias("score"))
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,37 @@ def test_many_tiles(spark, monkeypatch):
     assert sorted(map(tuple, exact_top_k(df.where("vec_id % 5 = 0"), df, 4).collect())) == top(rows, [r for r in rows if r[0] % 5 == 0], 4)
 
 
+def test_candidates_are_not_gathered(spark, monkeypatch):
+    """Candidates aren't shuffled, and no row holds many of them: both took an executor's heap over millions of vectors."""
+    from lattica.llm import tiles
+
+    plans, write = [], tiles.stash
+    monkeypatch.setattr(tiles, "stash", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), write(df, name))[1])
+    monkeypatch.setattr(tiles, "SHARD", 100)
+    df = spark.range(2000).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7, F.col("id") % 11).alias("v")).repartition(3)
+    found = exact_top_k(df.where("vec_id % 50 = 0"), df, 5)
+    assert found.count() == 200
+    assert [name for name, _ in plans] == ["queries", "wave"]
+    assert all("collect_set" not in plan for _, plan in plans)
+    scan, _, _ = plans[1][1].partition("MapInArrow")[2].partition("Coalesce")
+    assert "Exchange" not in scan
+
+
+def test_streams_of_many_chunks(spark, monkeypatch):
+    """Rows alike count once within a chunk, in different ones and in different streams; ties go to the smaller id."""
+    from lattica.llm import tiles
+
+    for name, value in (("BLOCK", 8), ("SHARD", 100), ("STRIP", 3), ("CHUNK", 7)):
+        monkeypatch.setattr(tiles, name, value)
+    draw = np.random.default_rng(14)
+    rows = [(int(i), draw.integers(-2, 3, 3).tolist()) for i in range(150)] * 3
+    rows += [(3, [2, 2, 2]), (3, [2, 2, 2]), (200, [1, 1])] + [(201 + i, [2, 1, 2]) for i in range(60)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(4)
+    asked = sorted({(i, tuple(v)) for i, v in rows if i % 10 == 0})
+    assert sorted(map(tuple, exact_top_k(df.where("vec_id % 10 = 0"), df, 4).collect())) == top([(i, tuple(v)) for i, v in rows], asked, 4)
+
+
 @pytest.mark.parametrize("big", [1 << 27, 1 << 30, 1 << 62])
 def test_large_products(spark, big):
     rows = [(0, [big, big]), (1, [big, -big]), (2, [big - 1, big]), (3, [1, 0])]
