@@ -161,6 +161,43 @@ def test_many_rows_of_the_query(spark):
     assert [r["vec_id"] for r in found] == (np.argsort(d, kind="stable")[:10] + 1).tolist()
 
 
+def test_codebooks_are_fitted_in_a_task(spark, monkeypatch):
+    """On the rows of the smallest hashes, of the commonest length; the driver gets the codebooks alone."""
+    draw = np.random.default_rng(13)
+    df = spark.createDataFrame([(i, draw.normal(size=3 if i % 3 else 2).tolist()) for i in range(3000)], "vec_id long, v array<double>")
+    rows = [r["v"] for r in df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(400).collect()]
+    expected = Codebooks.fit(np.array([v for v in rows if len(v) == 3])).books
+
+    def refused(*_, **__):
+        raise AssertionError("the driver fits")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Codebooks, "fit", refused)
+        found = fit_codebooks(df, 400)
+    np.testing.assert_allclose(found.books, expected, rtol=1e-5, atol=1e-6)
+    alike = spark.range(500).select(F.lit(4).alias("vec_id"), F.array(F.col("id").cast("double")).alias("v"))
+    assert fit_codebooks(alike, 20).dim == 1
+
+
+def test_many_blocks_and_lengths(spark, monkeypatch):
+    """Queries of several blocks are ranked again with their own block; doubles that aren't floats, and two lengths."""
+    from lattica.llm import tiles
+
+    for name, value in (("BLOCK", 8), ("SHARD", 100)):
+        monkeypatch.setattr(tiles, name, value)
+    draw = np.random.default_rng(15)
+    v = [np.round(draw.normal(size=4 if i % 4 else 5), 0 if i % 2 else 16) for i in range(600)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    model = fit_codebooks(df)
+    index = build_index(df, model).cache()
+    found = nearest(df.where("vec_id % 10 = 0 or vec_id % 10 = 3"), index, model, 5, rerank=600).toPandas()
+    assert found.query_id.nunique() == 120 and len(found) == 600
+    for q, rows in found.groupby("query_id"):
+        own = sorted((np.sqrt(((x - v[q]) ** 2).sum()), i) for i, x in enumerate(v) if i != q and len(x) == len(v[q]))[:5]
+        assert rows.sort_values("rank").vec_id.tolist() == [i for _, i in own]
+        np.testing.assert_array_equal(rows.sort_values("rank").score, [d for d, _ in own])
+
+
 def test_ties_in_all_places(spark):
     """Vectors at one distance from the query: the smaller ids, also where copies and others are level at the cut."""
     rows = [(i, [float(i % 2 * 2 - 1), 0.0]) for i in range(1, 40)] + [(0, [0.0, 0.0]), (50, [0.0, 1.0]), (51, [0.0, -0.0])]
