@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import small_batches, stash, table
 from lattica.llm.tiles import Chunk, by_length, dealt, finite, search, stacked, vectors
+from lattica.sources.shared import forget_shuffles
 
 #: Rows that codebooks are fitted on, at most.
 SAMPLE = 16_384
@@ -203,7 +204,7 @@ def without_nan(far: np.ndarray) -> np.ndarray:
 
 
 def measured(wanted: DataFrame, blocks: list[Broadcast]) -> DataFrame:
-    """query_id, qkey, ids and score, of rows of a vector, a block and the places of its queries in it: the Euclidean distance, in doubles."""
+    """query_id, block, at, ids and score, of rows of a vector, a block and the places of its queries in it: the Euclidean distance, in doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,11 +220,11 @@ def measured(wanted: DataFrame, blocks: list[Broadcast]) -> DataFrame:
                     score = np.empty(len(r))
                     for n, some in by_length(lengths[r]).items():
                         score[some] = np.sqrt(((stacked(lengths, values, r[some], n) - block.of(p[some], n)) ** 2).sum(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(block.ids[p]), pa.array(block.qkeys[p]), batch.column("ids").take(pa.array(r)), pa.array(score)], names=["query_id", "qkey", "ids", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(block.ids[p]), pa.array(np.full(len(p), number, np.int32)), pa.array(p), batch.column("ids").take(pa.array(r)), pa.array(score)], names=["query_id", "block", "at", "ids", "score"])
 
     # A task has one block at a time.
     rows = small_batches(wanted if len(blocks) == 1 else wanted.sortWithinPartitions("block"))
-    return rows.select("block", "places", "ids", *VECTOR).mapInArrow(run, "query_id bigint, qkey bigint, ids array<bigint>, score double")
+    return rows.select("block", "places", "ids", *VECTOR).mapInArrow(run, "query_id bigint, block int, at int, ids array<bigint>, score double")
 
 
 def nearest(queries: DataFrame, index: DataFrame, model: Codebooks, k: int, rerank: int = RERANK) -> DataFrame:
@@ -247,9 +248,9 @@ def nearest(queries: DataFrame, index: DataFrame, model: Codebooks, k: int, rera
     each = measured(wanted.join(index.select("vid", F.slice("ids", 1, k + 1).alias("ids"), *VECTOR), "vid"), blocks)
     each = each.withColumn("ids", F.filter("ids", lambda x: x != F.col("query_id"))).where(F.size("ids") > 0)
     # The k nearest ids are all of the k nearest vectors, each at its smallest id.
-    query = W.partitionBy("query_id", "qkey")
+    query = W.partitionBy("block", "at")
     first = F.row_number().over(query.orderBy("score", F.get("ids", F.lit(0))))
-    each = each.withColumn("first", first).where(F.col("first") <= k).select("query_id", "qkey", F.explode("ids").alias("vec_id"), "score")
+    each = each.withColumn("first", first).where(F.col("first") <= k).select("query_id", "block", "at", F.explode("ids").alias("vec_id"), "score")
     ranked = each.withColumn("rank", F.row_number().over(query.orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     result = stash(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
     for block in blocks:
@@ -262,4 +263,5 @@ def op4_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     model = fit_codebooks(rows)
     index = stash(build_index(rows, model), "additive-index")
+    forget_shuffles(spark)
     return nearest(rows.where(F.col("vec_id") % 100 == 0), index, model, 10)
